@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import mixing, packing, sharding, simple8b
 
 QUERIES = {
     "op4_mixing_sources": mixing.query,
+    "op6_packing": packing.query,
+    "op7_token_files": simple8b.query,
     "op10_rendezvous_sharding": sharding.query,
 }
 
