@@ -2,7 +2,7 @@
 
 A word enters as the sum of its own embedding and the mean of its character n-grams' embeddings (both in hashed tables), so
 unseen forms of a known stem are understood.  Two GRUs read a window of words in both directions, attention pools their
-states, and one unit gives the window's logit.  A document's score is that of its highest window; windows overlap by half
+states, and one unit gives the window's logit.  A document's score is that of its highest window; windows overlap by a third
 and cover the whole text.  Labels hold for documents, so training takes, epoch by epoch, the window that the model itself
 finds highest (after a first epoch on windows drawn at random).
 """
@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 from .common import documents
 
 WORDS = re.compile(r"[^\W_]+")
-WINDOW, STRIDE = 48, 24
+WINDOW, STRIDE = 48, 32
 WORD_ROWS, GRAM_ROWS, WIDTH, HIDDEN = 1 << 13, 1 << 14, 16, 12
+GRAMS = (3, 5)
+DECAY = 0.3
 
 
 def held_out(doc_id: Column) -> Column:
@@ -30,11 +32,29 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def features(word: str) -> tuple[int, list[int]]:
-    """A word's row in the word table and its rows in the character table."""
-    raw = f"<{word[:40]}>"
-    grams = [zlib.crc32(raw[i : i + n].encode("utf-8", "surrogatepass")) % GRAM_ROWS for n in (3, 4, 5) for i in range(max(1, len(raw) - n + 1))]
-    return zlib.crc32(word.encode("utf-8", "surrogatepass"), 7) % WORD_ROWS, grams
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each word's row in the word table; all their n-grams' rows in the character table, word by word; the word that each
+    n-gram belongs to.  n-grams are of GRAMS bytes of "<word>", words are cut at 40 characters for them; a word has one
+    n-gram at least."""
+    rows = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) % WORD_ROWS for w in words], np.int64)
+    coded = [f"<{w[:40]}>".encode("utf-8", "surrogatepass") for w in words]
+    size = np.array([len(c) for c in coded], np.int64)
+    raw = np.frombuffer(b"".join(coded) + bytes(max(GRAMS)), np.uint8).astype(np.uint64)
+    of = np.repeat(np.arange(len(words)), size)
+    end = np.repeat(np.cumsum(size), size)
+    at = np.arange(len(of))
+    begin = end - np.repeat(size, size)
+    grams, owner = [], []
+    for n in GRAMS:
+        h = np.full(len(of), n, np.uint64)
+        for k in range(n):
+            h = (h ^ np.where(at + k < end, raw[k : k + len(of)], 0)) * np.uint64(0x100000001B3)
+        h ^= h >> np.uint64(29)
+        fits = (at + n <= end) | (at == begin)
+        grams.append((h[fits] % np.uint64(GRAM_ROWS)).astype(np.int64))
+        owner.append(of[fits])
+    order = np.argsort(np.concatenate(owner), kind="stable")
+    return rows, np.concatenate(grams)[order], np.concatenate(owner)[order]
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -152,8 +172,8 @@ def _laid(gates: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarra
 class Adam:
     """For tables of embeddings only the rows that a batch touches are moved."""
 
-    def __init__(self, params: dict[str, np.ndarray], rate: float):
-        self.rate, self.t = rate, 0
+    def __init__(self, params: dict[str, np.ndarray], rate: float, decay: float = DECAY):
+        self.rate, self.decay, self.t = rate, decay, 0
         self.m = {k: np.zeros_like(v) for k, v in params.items()}
         self.v = {k: np.zeros_like(v) for k, v in params.items()}
 
@@ -169,7 +189,7 @@ class Adam:
                 at, total = ..., g
             m = self.m[k][at] = 0.9 * self.m[k][at] + 0.1 * total
             v = self.v[k][at] = 0.99 * self.v[k][at] + 0.01 * total * total
-            params[k][at] -= self.rate * (m / c1) / (np.sqrt(v / c2) + 1e-7)
+            params[k][at] = (1 - self.decay * self.rate) * params[k][at] - self.rate * (m / c1) / (np.sqrt(v / c2) + 1e-7)
 
 
 def windows_of(count: int) -> np.ndarray:
@@ -204,15 +224,7 @@ class Indexed:
         return np.where(at < w[:, 1:], self.flat[np.minimum(at, len(self.flat) - 1)], -1)
 
 
-def _tables(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    found = [features(w) for w in words]
-    rows = np.array([f[0] for f in found], np.int64)
-    grams = np.array([g for f in found for g in f[1]], np.int64)
-    owner = np.repeat(np.arange(len(words)), [len(f[1]) for f in found])
-    return rows, grams, owner
-
-
-def train(texts: list[str], labels: np.ndarray, epochs: int = 7, seed: int = 5, rate: float = 0.01) -> tuple[Network, float]:
+def train(texts: list[str], labels: np.ndarray, epochs: int = 6, seed: int = 5, rate: float = 0.01) -> tuple[Network, float]:
     """The network and the score of a text without words (the share of label 1).  Fixed seed, same rows: same network."""
     rng = np.random.default_rng(seed)
     net, data = Network(seed), Indexed(texts)
@@ -222,7 +234,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 7, seed: int = 5,
         net.p["out"][:] = 0
         net.p["bias"][:] = np.log(max(prior, 1e-3) / max(1 - prior, 1e-3)) if len(labels) else -5
         return net, prior
-    rows, grams, owner = _tables(data.words)
+    rows, grams, owner = features(data.words)
     bounds = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(rows)))])
     adam = Adam(net.p, rate)
     doc, first = np.unique(data.owner, return_index=True)
@@ -257,7 +269,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 7, seed: int = 5,
 class Scorer:
     """Scores texts with a network; keeps the input gates of up to `most` distinct words."""
 
-    def __init__(self, net: Network, empty: float, most: int = 120_000):
+    def __init__(self, net: Network, empty: float, most: int = 300_000):
         self.net, self.empty, self.most = net, empty, most
         self.known: dict[str, int] = {}
         self.gates = np.zeros((2, most, 3 * HIDDEN), np.float32)
@@ -274,7 +286,7 @@ class Scorer:
         if new:
             base = len(self.known)
             self.known |= {w: base + k for k, w in enumerate(new)}
-            self.gates[:, base : base + len(new)] = self.net.gates(self.net.word_vectors(*_tables(new)))
+            self.gates[:, base : base + len(new)] = self.net.gates(self.net.word_vectors(*features(new)))
         return np.array([self.known[w] for w in words], np.int64)
 
     def scores(self, texts: list[str]) -> np.ndarray:
@@ -300,7 +312,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int) -> pd.DataFra
     return rows.select("text", "toxic").toPandas()
 
 
-def score(docs: DataFrame, labels: DataFrame, most: int = 1500) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, most: int = 1000) -> DataFrame:
     """doc_id, held_out, score (0 to 1) and predicted (1 from 0.5 on) of each row of docs, by its whole text.
 
     Learns from at most `most` toxic and twice as many other labelled rows.  Nothing but the text enters a score.  Null text
