@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, sharding, simple8b, toxicity
+from . import jaccard_join, mixing, packing, sharding, simple8b, toxicity
 
 QUERIES = {
     "op4_mixing_sources": mixing.query,
     "op6_packing": packing.query,
     "op7_token_files": simple8b.query,
     "op8_toxicity": toxicity.query,
+    "op9_ngram_join": jaccard_join.query,
     "op10_rendezvous_sharding": sharding.query,
 }
 
