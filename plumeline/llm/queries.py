@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, mixing, packing, sharding, simple8b, toxicity
+from . import hnsw, jaccard_join, mixing, packing, sharding, simple8b, topk_search, toxicity
 
 QUERIES = {
+    "op3_exact_topk": topk_search.query,
     "op4_mixing_sources": mixing.query,
+    "op5_hnsw": hnsw.query,
     "op6_packing": packing.query,
     "op7_token_files": simple8b.query,
     "op8_toxicity": toxicity.query,
@@ -14,5 +16,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_exact_topk": topk_search.ORACLE,
     "op4_mixing_sources": mixing.ORACLE,
 }
