@@ -106,9 +106,9 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 ORACLE = """
-with v as (select vec_id, list_transform(embedding, x -> cast(floor(64 * cast(x as double)) as bigint)) as x from embeddings
-  where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
-s as (select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(range(1, len(q.x) + 1), i -> q.x[i] * c.x[i])) as bigint) as score
+with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as x from embeddings
+  where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(range(1, len(q.x) + 1), lambda i: q.x[i] * c.x[i])) as bigint) as score
   from v q join v c on q.vec_id % 20 = 0 and c.vec_id <> q.vec_id and len(c.x) = len(q.x)),
 r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from s)
 select query_id, rank, vec_id, score from r where rank <= 20
