@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import hnsw, jaccard_join, line_dedup, mixing, packing, sharding, simple8b, topk_search, toxicity
+from . import hnsw, jaccard_join, line_dedup, mixing, packing, quality, sharding, simple8b, topk_search, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
+    "op2_quality": quality.query,
     "op3_exact_topk": topk_search.query,
     "op4_mixing_sources": mixing.query,
     "op5_hnsw": hnsw.query,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_quality": quality.query,
     "op3_exact_topk": topk_search.ORACLE,
     "op4_mixing_sources": mixing.ORACLE,
 }

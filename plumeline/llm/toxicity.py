@@ -312,32 +312,60 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int) -> pd.DataFra
     return rows.select("text", "toxic").toPandas()
 
 
-def score(docs: DataFrame, labels: DataFrame, most: int = 1000) -> DataFrame:
-    """doc_id, held_out, score (0 to 1) and predicted (1 from 0.5 on) of each row of docs, by its whole text.
-
-    Learns from at most `most` toxic and twice as many other labelled rows.  Nothing but the text enters a score.  Null text
-    is empty; a text without words gets the sample's share of toxic rows; an empty table gives an empty table; without
-    labels of both kinds every score is the share known.  Rows alike get like scores.
-    """
+def _judged(docs: DataFrame, labels: DataFrame, most: int):
+    """A function from texts to scores, made anew in each task."""
     sample = labelled_sample(docs, labels, most)
     net, empty = train(sample["text"].tolist(), sample["toxic"].to_numpy())
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         mine = Scorer(net, empty)
-        for frame in frames:
-            texts, out, a, size = frame["text"].tolist(), [], 0, 0
+
+        def scores(texts: list[str]) -> np.ndarray:
+            out, a, size = [], 0, 0
             for b, t in enumerate(texts, 1):
                 size += len(t)
                 if size > 1_000_000 or b == len(texts):
                     out.append(mine.scores(texts[a:b]))
                     a, size = b, 0
-            s = np.concatenate(out) if out else np.zeros(0)
+            return np.concatenate(out) if out else np.zeros(0)
+
+        return scores
+
+    return start
+
+
+def score(docs: DataFrame, labels: DataFrame, most: int = 1000) -> DataFrame:
+    """doc_id, held_out, score (0 to 1) and predicted (1 from 0.5 on) of each row of docs, by its whole text.
+
+    Learns from at most `most` toxic and twice as many other labelled rows, the first by a hash of doc_id.  Nothing but the
+    text enters a score.  Null text is empty; a text without words gets the sample's share of toxic rows; an empty table
+    gives an empty table; without labels of both kinds every score is the share known.  Rows alike get like scores.
+    """
+    start = _judged(docs, labels, most)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scores = start()
+        for frame in frames:
+            s = scores(frame["text"].tolist())
             yield pd.DataFrame({"doc_id": frame["doc_id"], "held_out": frame["held_out"], "score": s, "predicted": (s >= 0.5).astype(np.int32)})
 
     lean = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     return lean.mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
+def filtered(docs: DataFrame, labels: DataFrame, most: int = 1000, limit: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, whose score is below limit.  See score for all else."""
+    start = _judged(docs, labels, most)
+
+    @F.pandas_udf("double")
+    def toxic(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scores = start()
+        for texts in batches:
+            yield pd.Series(scores(texts.tolist()))
+
+    return docs.where(toxic(F.coalesce("text", F.lit(""))) < limit)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """All documents, learned from labels.toxic."""
     return score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
