@@ -49,6 +49,7 @@ def ranges(docs: DataFrame, settings: Settings, lexicon: Lexicon, common: DataFr
         found = detect(m, settings, lexicon, settings.echoes, key)
         if found is None:
             continue
+        found = found.persist()
         if taken is not None:
             found = assemble.without_overlap(found, taken, key)
         taken = found if taken is None else taken.unionByName(found, allowMissingColumns=True)
