@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -25,6 +26,7 @@ WINDOW, STRIDE = 48, 32
 WORD_ROWS, GRAM_ROWS, WIDTH, HIDDEN = 1 << 13, 1 << 14, 16, 12
 GRAMS = (3, 5)
 DECAY = 0.3
+BATCH, LEAST_STEPS = 64, 300
 
 
 def held_out(doc_id: Column) -> Column:
@@ -51,8 +53,8 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             h = (h ^ np.where(at + k < end, raw[k : k + len(of)], 0)) * np.uint64(0x100000001B3)
         h ^= h >> np.uint64(29)
         fits = (at + n <= end) | (at == begin)
-        grams.append((h[fits] % np.uint64(GRAM_ROWS)).astype(np.int64))
-        owner.append(of[fits])
+        grams.append((h[fits] % np.uint64(GRAM_ROWS)).astype(np.int32))
+        owner.append(of[fits].astype(np.int32))
     order = np.argsort(np.concatenate(owner), kind="stable")
     return rows, np.concatenate(grams)[order], np.concatenate(owner)[order]
 
@@ -75,8 +77,9 @@ class Network:
 
     def word_vectors(self, rows: np.ndarray, grams: np.ndarray, owner: np.ndarray, keep: np.ndarray | None = None) -> np.ndarray:
         """rows: word row of each distinct word; grams: all their n-gram rows; owner: the word each n-gram belongs to."""
-        count = np.bincount(owner, minlength=len(rows)).astype(np.float32)
-        at = np.concatenate([[0], np.cumsum(count[:-1])]).astype(np.int64)
+        count = np.bincount(owner, minlength=len(rows))
+        at = np.cumsum(count) - count
+        count = count.astype(np.float32)
         mean = np.add.reduceat(self.p["gram"][grams], at, axis=0) / count[:, None]
         own = self.p["word"][rows]
         return (own if keep is None else own * keep[:, None]) + 2 * mean
@@ -111,6 +114,15 @@ class Network:
         """(2, words, 3H)"""
         return vectors @ self.p["wx"] + self.p["b"]
 
+    def known_gates(self, rows: np.ndarray, grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Gates of all words, 10,000 at a time; bounds: where each word's n-grams start, and their end."""
+        out = np.empty((2, len(rows), 3 * HIDDEN), np.float32)
+        for a in range(0, len(rows), 10_000):
+            b = min(a + 10_000, len(rows))
+            owner = np.repeat(np.arange(b - a), np.diff(bounds[a : b + 1]))
+            out[:, a:b] = self.gates(self.word_vectors(rows[a:b], grams[bounds[a] : bounds[b]], owner))
+        return out
+
     def logits(self, gates: np.ndarray, windows: np.ndarray) -> np.ndarray:
         """windows: (B, T) rows of gates, -1 beyond the window's end."""
         out = np.empty(len(windows), np.float32)
@@ -204,16 +216,16 @@ class Indexed:
 
     def __init__(self, texts: Iterable[str]):
         known: dict[str, int] = {}
-        flat: list[int] = []
+        flat = array("i")
         windows, owner = [], []
         for k, t in enumerate(texts):
             base = len(flat)
-            flat += [known.setdefault(w, len(known)) for w in WORDS.findall((t or "").lower())]
+            flat.extend([known.setdefault(w, len(known)) for w in WORDS.findall((t or "").lower())])
             starts = windows_of(len(flat) - base) + base
             windows.append(np.stack([starts, np.minimum(starts + WINDOW, len(flat))], axis=1))
             owner.append(np.full(len(starts), k))
         self.words = list(known)
-        self.flat = np.array([*flat, *[-1] * WINDOW], np.int64)
+        self.flat = np.concatenate([np.frombuffer(flat, np.int32) if len(flat) else np.zeros(0, np.int32), np.full(WINDOW, -1, np.int32)])
         self.windows = np.concatenate(windows) if windows else np.zeros((0, 2), np.int64)
         self.owner = np.concatenate(owner) if owner else np.zeros(0, np.int64)
 
@@ -234,26 +246,31 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 6, seed: int = 5,
         net.p["out"][:] = 0
         net.p["bias"][:] = np.log(max(prior, 1e-3) / max(1 - prior, 1e-3)) if len(labels) else -5
         return net, prior
-    rows, grams, owner = features(data.words)
-    bounds = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(rows)))])
+    parts = [features(data.words[a : a + 10_000]) for a in range(0, len(data.words), 10_000)]
+    rows, grams = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    bounds = np.concatenate([[0], np.cumsum(np.concatenate([np.bincount(p[2], minlength=len(p[0])) for p in parts]))])
+    del parts
     adam = Adam(net.p, rate)
     doc, first = np.unique(data.owner, return_index=True)
     last = np.append(first[1:], len(data.owner))
+    epochs = max(epochs, min(40, -(-LEAST_STEPS * BATCH // (2 * len(doc)))))  # few documents: more rounds
     for epoch in range(epochs):
         draw = first + (rng.random(len(doc)) * (last - first)).astype(np.int64)
         if epoch == 0:
             more = first + (rng.random(len(doc)) * (last - first)).astype(np.int64)
             chosen = np.unique(np.concatenate([draw, more]))
         else:
-            logit = net.logits(net.gates(net.word_vectors(rows, grams, owner)), data.rows())
+            gates = net.known_gates(rows, grams, bounds)
+            logit = np.concatenate([net.logits(gates, data.rows(slice(a, a + 4096))) for a in range(0, len(data.windows), 4096)])
+            del gates
             top = np.lexsort((-logit, data.owner))
             top = top[np.searchsorted(data.owner[top], doc)]
             chosen = np.unique(np.concatenate([top, draw[labels[doc] == 0]]))
         rng.shuffle(chosen)
         if epoch == epochs - 2:
             adam.rate = rate / 4
-        for a in range(0, len(chosen), 64):
-            batch = chosen[a : a + 64]
+        for a in range(0, len(chosen), BATCH):
+            batch = chosen[a : a + BATCH]
             windows = data.rows(batch)
             here, local = np.unique(windows[windows >= 0], return_inverse=True)
             windows[windows >= 0] = local
@@ -286,7 +303,9 @@ class Scorer:
         if new:
             base = len(self.known)
             self.known |= {w: base + k for k, w in enumerate(new)}
-            self.gates[:, base : base + len(new)] = self.net.gates(self.net.word_vectors(*features(new)))
+            for a in range(0, len(new), 10_000):
+                part = new[a : a + 10_000]
+                self.gates[:, base + a : base + a + len(part)] = self.net.gates(self.net.word_vectors(*features(part)))
         return np.array([self.known[w] for w in words], np.int64)
 
     def scores(self, texts: list[str]) -> np.ndarray:
