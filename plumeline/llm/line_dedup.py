@@ -1,10 +1,10 @@
 """Fuzzy dedup of lines: one line of each component stays.  DataFrame and SQL functions only.
 
-A line's signature is bottom-k MinHash: the SKETCH smallest hashes of its character shingles, those of SHINGLE characters
-that begin where a word begins (in scripts without spaces: at every character).  BAND values that follow each other in the
-signature make a band.  Lines that share a band are candidates if they are near each other in the bucket's order or one is
-the bucket's first; each candidate pair is verified by the exact Jaccard similarity of the lines' sets of GRAM characters at
-all positions.  Union-find over the verified pairs, distributed, gives the components.
+A line's shingles are its pieces of SHINGLE characters (fewer at its end) that begin where a word begins, in scripts without
+spaces at every character.  Its signature is bottom-k MinHash: the SKETCH smallest shingle hashes.  BAND values that follow
+each other in the signature make a band.  Lines that share a band are candidates if they are near each other in the bucket's
+order or one is the bucket's first; each candidate pair is verified by the exact Jaccard similarity of the two shingle sets.
+Union-find over the verified pairs, distributed, gives the components.
 
 Two lines of similarity 0.8 share no band with a probability of about 0.002, of 0.9 with less than 0.00001.  A bucket's
 order is its own, so lines of a large family meet other neighbours in each of their buckets.  Lines are known by a 64-bit
@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from .common import cut, documents
 from .components import components
 
-SHINGLE, GRAM, SKETCH, BAND, NEAR = 9, 5, 10, 2, 8
+#: LEAST: lines of fewer characters are too short to judge, and always stay.
+SHINGLE, LEAST, SKETCH, BAND, NEAR = 9, 5, 10, 2, 8
 THRESHOLD = 0.8
 #: A shingle from each word's start; the word, and the space after it, is passed over.
 FROM_WORDS = rf"(?=(.{{1,{SHINGLE}}}))(?:[^ ฀-໿぀-鿿가-힯]++ ?|.)"
@@ -28,19 +29,24 @@ FROM_WORDS = rf"(?=(.{{1,{SHINGLE}}}))(?:[^ ฀-໿぀-鿿가-힯]++ ?|.)"
 def lines(docs: DataFrame) -> DataFrame:
     """doc_id, th (hash of the text), pos (from 0) and line of every line; h: the line's hash.  A line ends with \\n."""
     d = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return d.where(F.length("line") >= GRAM).withColumn("h", F.xxhash64("line"))
+    return d.where(F.length("line") >= LEAST).withColumn("h", F.xxhash64("line"))
+
+
+def shingles(line: Column) -> Column:
+    """The set of a line's shingles, as 64-bit hashes."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(line, F.lit(FROM_WORDS), F.lit(1)), lambda s: F.xxhash64(s)))
 
 
 def bands(line: Column) -> Column:
     """The band keys of a line.  A line with fewer shingles than a band needs has one key of all its shingles."""
-    hashes = F.transform(F.regexp_extract_all(line, F.lit(FROM_WORDS), F.lit(1)), lambda s: F.xxhash64(s))
-    least = F.slice(F.sort_array(F.array_distinct(hashes)), 1, SKETCH)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(least) - (BAND - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(least, i, F.lit(BAND))))
-    return F.array_distinct(runs)
+    least = F.slice(F.sort_array(shingles(line)), 1, SKETCH)
+    runs = lambda s: F.transform(F.sequence(F.lit(1), F.greatest(F.size(s) - (BAND - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(s, i, F.lit(BAND))))
+    return F.array_distinct(_once(least, runs))
 
 
-def grams(line: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
+def _once(value: Column, use) -> Column:
+    """use(value), with value worked out a single time however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def verified_pairs(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -53,15 +59,14 @@ def verified_pairs(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     pairs = cut(pairs.select(F.least("h", "o").alias("u"), F.greatest("h", "o").alias("v")).distinct(), "line-pairs")
     ends = pairs.select(F.col("u").alias("h")).union(pairs.select("v")).distinct()
     texts = lines(docs).groupBy("h").agg(F.min("line").alias("line")).join(ends, "h")
-    texts = cut(texts, "line-texts")
-    both = pairs.join(texts.select(F.col("h").alias("u"), F.col("line").alias("a")), "u").join(texts.select(F.col("h").alias("v"), F.col("line").alias("b")), "v")
-    both = both.select("u", "v", grams(F.col("a")).alias("a"), grams(F.col("b")).alias("b"))
-    common = F.size(F.array_intersect("a", "b"))
-    return both.where(common >= F.lit(threshold) * (F.size("a") + F.size("b") - common) - F.lit(1e-9)).select("u", "v")
+    sets = cut(texts.select("h", shingles(F.col("line")).alias("s")), "line-sets")
+    both = pairs.join(sets.select(F.col("h").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("h").alias("v"), F.col("s").alias("b")), "v")
+    close = lambda n: n >= F.lit(threshold) * (F.size("a") + F.size("b") - n) - F.lit(1e-9)
+    return both.where(_once(F.size(F.array_intersect("a", "b")), close)).select("u", "v")
 
 
 def kept_positions(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, th, kept: for each text (by doc_id and hash) that keeps any line of GRAM characters or more, the positions of
+    """doc_id, th, kept: for each text (by doc_id and hash) that keeps any line of LEAST characters or more, the positions of
     those.  Of a component the line that comes first stays: smallest doc_id (null first), then hash of the text, position."""
     at = F.struct("doc_id", "th", "pos")
     first = cut(lines(docs).groupBy("h").agg(F.min(at).alias("at")), "line-first")
@@ -74,11 +79,11 @@ def kept_positions(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def decisions(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_lines, kept (positions of the lines that stay, ascending, from 0) of each row of docs.
 
-    Lines shorter than GRAM characters, blank ones among them, always stay.  Null text has no lines, empty text one empty
+    Lines shorter than LEAST characters, blank ones among them, always stay.  Null text has no lines, empty text one empty
     line.  Rows with the same doc_id and text are one document that was read twice: all get the same decisions.  An empty
     table gives an empty table."""
     split = F.split(F.coalesce("text", F.lit("")), "\n")
-    short = F.filter(F.transform(split, lambda x, i: F.when(F.length(x) < GRAM, i)), lambda i: i.isNotNull())
+    short = F.filter(F.transform(split, lambda x, i: F.when(F.length(x) < LEAST, i)), lambda i: i.isNotNull())
     lean = docs.select("doc_id", F.xxhash64("text").alias("th"), F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).alias("n_lines"), F.when(F.col("text").isNull(), F.array().cast("array<int>")).otherwise(short).alias("short"))
     kept = kept_positions(docs, threshold).withColumnRenamed("doc_id", "id").withColumnRenamed("th", "t")
     out = lean.join(kept, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("t")), "left")
@@ -93,7 +98,7 @@ def dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     kept = kept_positions(docs, threshold).withColumnsRenamed({"doc_id": "__id", "th": "__t"}).withColumnRenamed("kept", "__kept")
     joined = docs.withColumn("__th", F.xxhash64("text")).join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__t")), "left")
     parts = F.split("text", "\n")
-    short = F.filter(F.transform(parts, lambda x, i: F.when(F.length(x) < GRAM, i)), lambda i: i.isNotNull())
+    short = F.filter(F.transform(parts, lambda x, i: F.when(F.length(x) < LEAST, i)), lambda i: i.isNotNull())
     places = F.array_sort(F.concat(short, F.coalesce("__kept", F.array().cast("array<int>"))))
     joined = joined.withColumn("__parts", parts).withColumn("__places", places)
     joined = joined.withColumn("__new", F.array_join(F.transform("__places", lambda i: F.get(F.col("__parts"), i)), "\n"))
