@@ -18,7 +18,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
-    "op2_quality": quality.query,
     "op3_exact_topk": topk_search.ORACLE,
     "op4_mixing_sources": mixing.ORACLE,
 }
