@@ -3,8 +3,8 @@
 A line's shingles are its pieces of SHINGLE characters (fewer at its end) that begin where a word begins, in scripts without
 spaces at every character.  Its signature is bottom-k MinHash: the SKETCH smallest shingle hashes.  BAND values that follow
 each other in the signature make a band.  Lines that share a band are candidates if they are near each other in the bucket's
-order or one is the bucket's first; each candidate pair is verified by the exact Jaccard similarity of the two shingle sets.
-Union-find over the verified pairs, distributed, gives the components.
+order or one is the bucket's first; each candidate pair is verified by the exact Jaccard similarity of the lines' sets of
+GRAM characters at all positions.  Union-find over the verified pairs, distributed, gives the components.
 
 Two lines of similarity 0.8 share no band with a probability of about 0.002, of 0.9 with less than 0.00001.  A bucket's
 order is its own, so lines of a large family meet other neighbours in each of their buckets.  Lines are known by a 64-bit
@@ -20,7 +20,7 @@ from .common import cut, documents
 from .components import components
 
 #: LEAST: lines of fewer characters are too short to judge, and always stay.
-SHINGLE, LEAST, SKETCH, BAND, NEAR = 9, 5, 10, 2, 8
+SHINGLE, GRAM, LEAST, SKETCH, BAND, NEAR = 9, 5, 5, 10, 2, 8
 THRESHOLD = 0.8
 #: A shingle from each word's start; the word, and the space after it, is passed over.
 FROM_WORDS = rf"(?=(.{{1,{SHINGLE}}}))(?:[^ ฀-໿぀-鿿가-힯]++ ?|.)"
@@ -37,6 +37,12 @@ def shingles(line: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(line, F.lit(FROM_WORDS), F.lit(1)), lambda s: F.xxhash64(s)))
 
 
+def grams(line: Column, width: int = GRAM) -> Column:
+    """The set of a line's pieces of width characters at all positions, as 64-bit hashes; of a shorter line, the whole line."""
+    starts = F.sequence(F.lit(0), F.greatest(F.length(line) - width, F.lit(0)))
+    return F.array_distinct(_once(F.encode(line, "UTF-32"), lambda b: F.transform(starts, lambda i: F.xxhash64(F.substring(b, 4 * i + 1, F.lit(4 * width))))))
+
+
 def bands(line: Column) -> Column:
     """The band keys of a line.  A line with fewer shingles than a band needs has one key of all its shingles."""
     least = F.slice(F.sort_array(shingles(line)), 1, SKETCH)
@@ -59,10 +65,12 @@ def verified_pairs(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     pairs = cut(pairs.select(F.least("h", "o").alias("u"), F.greatest("h", "o").alias("v")).distinct(), "line-pairs")
     ends = pairs.select(F.col("u").alias("h")).union(pairs.select("v")).distinct()
     texts = lines(docs).groupBy("h").agg(F.min("line").alias("line")).join(ends, "h")
-    sets = cut(texts.select("h", shingles(F.col("line")).alias("s")), "line-sets")
-    both = pairs.join(sets.select(F.col("h").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("h").alias("v"), F.col("s").alias("b")), "v")
-    close = lambda n: n >= F.lit(threshold) * (F.size("a") + F.size("b") - n) - F.lit(1e-9)
-    return both.where(_once(F.size(F.array_intersect("a", "b")), close)).select("u", "v")
+    texts = cut(texts.withColumn("n", F.size(grams(F.col("line")))), "line-texts")
+    side = lambda h, line, n: texts.select(F.col("h").alias(h), F.col("line").alias(line), F.col("n").alias(n))
+    both = pairs.join(side("u", "a", "m"), "u").join(side("v", "b", "n"), "v")
+    both = both.where(F.least("m", "n") >= F.lit(threshold) * F.greatest("m", "n") - F.lit(1e-9))  # else the sizes alone say no
+    close = lambda k: k >= F.lit(threshold) * (F.col("m") + F.col("n") - k) - F.lit(1e-9)
+    return both.where(_once(F.size(F.array_intersect(grams(F.col("a")), grams(F.col("b")))), close)).select("u", "v")
 
 
 def kept_positions(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -34,6 +34,22 @@ def test_line_dedup(make):
     assert "Python" not in plan(line_dedup.verified_pairs(docs)) + plan(line_dedup.lines(docs))
 
 
+def grams(text, n=5):
+    return {text[i : i + n] for i in range(max(len(text) - n, 0) + 1)}
+
+
+def test_line_dedup_verifies_every_position(make):
+    """Two words of 23 differ: by pieces at word starts the lines are not alike, by all pieces of 5 characters they are."""
+    one = "photographers everywhere celebrated extraordinary constellations while a an international correspondents documented unbelievable transformations throughout mountainous neighbourhoods"
+    two = one.replace(" a an ", " i on ")
+    x, y = grams(one), grams(two)
+    assert len(x & y) / len(x | y) >= 0.8 and jaccard(one, two) < 0.8
+    docs = make([(1, one), (2, two), (3, "日本語の文章がここにあります😀 \U0001f600x")])
+    assert {r.doc_id: r.kept for r in line_dedup.decisions(docs).collect()} == {1: [0], 2: [], 3: [0]}
+    for r in line_dedup.lines(docs).select("line", F.size(line_dedup.grams(F.col("line"))).alias("n")).collect():
+        assert r.n == len(grams(r.line))
+
+
 def test_line_dedup_documents(make):
     docs = make(EDGES).withColumn("h", F.lit("mine"))
     out = line_dedup.dedup(docs)
