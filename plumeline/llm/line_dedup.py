@@ -1,10 +1,10 @@
 """Fuzzy dedup of lines: one line of each component stays.  DataFrame and SQL functions only.
 
-A line's shingles are its pieces of SHINGLE characters (fewer at its end) that begin where a word begins, in scripts without
-spaces at every character.  Its signature is bottom-k MinHash: the SKETCH smallest shingle hashes.  BAND values that follow
-each other in the signature make a band.  Lines that share a band are candidates if they are near each other in the bucket's
-order or one is the bucket's first; each candidate pair is verified by the exact Jaccard similarity of the lines' sets of
-GRAM characters at all positions.  Union-find over the verified pairs, distributed, gives the components.
+A line's shingles are its pieces of SHINGLE characters at all positions, its grams those of GRAM characters.  Its signature
+is bottom-k MinHash: the SKETCH smallest shingle hashes; a line of SHORT shingles or fewer has a second one of its grams.  BAND
+values that follow each other in a signature make a band.  Lines that share a band are candidates if they are near each
+other in the bucket's order or one is the bucket's first; each candidate pair is verified by the exact Jaccard similarity of
+the two sets of grams.  Union-find over the verified pairs, distributed, gives the components.
 
 Two lines of similarity 0.8 share no band with a probability of about 0.002, of 0.9 with less than 0.00001.  A bucket's
 order is its own, so lines of a large family meet other neighbours in each of their buckets.  Lines are known by a 64-bit
@@ -20,10 +20,8 @@ from .common import cut, documents
 from .components import components
 
 #: LEAST: lines of fewer characters are too short to judge, and always stay.
-SHINGLE, GRAM, LEAST, SKETCH, BAND, NEAR = 9, 5, 5, 10, 2, 8
+SHINGLE, GRAM, LEAST, SKETCH, BAND, NEAR, SHORT = 9, 5, 5, 12, 2, 8, 30
 THRESHOLD = 0.8
-#: A shingle from each word's start; the word, and the space after it, is passed over.
-FROM_WORDS = rf"(?=(.{{1,{SHINGLE}}}))(?:[^ ฀-໿぀-鿿가-힯]++ ?|.)"
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -32,11 +30,6 @@ def lines(docs: DataFrame) -> DataFrame:
     return d.where(F.length("line") >= LEAST).withColumn("h", F.xxhash64("line"))
 
 
-def shingles(line: Column) -> Column:
-    """The set of a line's shingles, as 64-bit hashes."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(line, F.lit(FROM_WORDS), F.lit(1)), lambda s: F.xxhash64(s)))
-
-
 def grams(line: Column, width: int = GRAM) -> Column:
     """The set of a line's pieces of width characters at all positions, as 64-bit hashes; of a shorter line, the whole line."""
     starts = F.sequence(F.lit(0), F.greatest(F.length(line) - width, F.lit(0)))
@@ -44,10 +37,11 @@ def grams(line: Column, width: int = GRAM) -> Column:
 
 
 def bands(line: Column) -> Column:
-    """The band keys of a line.  A line with fewer shingles than a band needs has one key of all its shingles."""
-    least = F.slice(F.sort_array(shingles(line)), 1, SKETCH)
+    """The band keys of a line.  A line with fewer values than a band needs has one key of all its values."""
     runs = lambda s: F.transform(F.sequence(F.lit(1), F.greatest(F.size(s) - (BAND - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(s, i, F.lit(BAND))))
-    return F.array_distinct(_once(least, runs))
+    keys = lambda s: _once(F.slice(F.sort_array(s), 1, SKETCH), runs)
+    short = lambda s: F.when(F.size(s) <= SHORT, keys(grams(line))).otherwise(F.array().cast("array<bigint>"))
+    return F.array_distinct(_once(grams(line, SHINGLE), lambda s: F.concat(keys(s), short(s))))
 
 
 def _once(value: Column, use) -> Column:

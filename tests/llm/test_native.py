@@ -50,6 +50,15 @@ def test_line_dedup_verifies_every_position(make):
         assert r.n == len(grams(r.line))
 
 
+def test_line_dedup_reads_whole_words(make):
+    """Lines without spaces that begin alike are different lines; a near copy of one, and of a short line, goes."""
+    urls = ["https://www.alpha.org/a", "https://www.zeta.com/q?id=9", "https://www.museum-of-early-instruments.net/visit/opening-hours?season=winter"]
+    rows = ["2024-01-03\t17\tparis\tcold", "2024-01-09\t4512\tlima\tdry and warm", "2024-01-0,1,2,3", "2024-01-0|alpha|beta|gamma"]
+    docs = make([(i, x) for i, x in enumerate(urls + rows)] + [(20, urls[2] + "s"), (21, "abcdefghi"), (22, "abcdefghij")])
+    got = {r.doc_id: r.kept for r in line_dedup.decisions(docs).collect()}
+    assert got == {i: [0] for i in range(7)} | {20: [], 21: [0], 22: []}
+
+
 def test_line_dedup_documents(make):
     docs = make(EDGES).withColumn("h", F.lit("mine"))
     out = line_dedup.dedup(docs)
