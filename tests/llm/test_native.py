@@ -2,6 +2,7 @@
 
 import contextlib
 import io
+import random
 import zlib
 from collections import Counter
 
@@ -59,6 +60,21 @@ def test_line_dedup_reads_whole_words(make):
     assert got == {i: [0] for i in range(7)} | {20: [], 21: [0], 22: []}
 
 
+def test_line_dedup_compares_all_of_a_bucket(make, monkeypatch):
+    """Near copies behind an opening that all lines share are found, however many lines share it."""
+    monkeypatch.setattr(line_dedup, "NEAR", 1)
+    monkeypatch.setattr(line_dedup, "BLOCK", 16, raising=False)
+    r = random.Random(4)
+    word = lambda: "".join(r.choices("abcdefghijklmnop", k=7))
+    opening = " ".join(word() for _ in range(45))
+    rows = []
+    for i in range(40):
+        own = " ".join(word() for _ in range(25))
+        rows += [(2 * i, f"{opening} {own}"), (2 * i + 1, f"{opening} {own} x{i}")]
+    got = {r.doc_id: r.kept for r in line_dedup.decisions(make(rows)).collect()}
+    assert got == {i: [0] if i % 2 == 0 else [] for i in range(80)}
+
+
 def test_line_dedup_documents(make):
     docs = make(EDGES).withColumn("h", F.lit("mine"))
     out = line_dedup.dedup(docs)
