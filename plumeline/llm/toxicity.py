@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import documents
 
-WORDS = re.compile(r"[^\W_]+")
+#: A run of letters and digits; a longer one than 40 is cut into successive words.
+WORDS = re.compile(r"[^\W_]{1,40}")
 WINDOW, STRIDE = 48, 32
 WORD_ROWS, GRAM_ROWS, WIDTH, HIDDEN = 1 << 13, 1 << 14, 16, 12
 GRAMS = (3, 5)
@@ -36,10 +37,9 @@ def held_out(doc_id: Column) -> Column:
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each word's row in the word table; all their n-grams' rows in the character table, word by word; the word that each
-    n-gram belongs to.  n-grams are of GRAMS bytes of "<word>", words are cut at 40 characters for them; a word has one
-    n-gram at least."""
+    n-gram belongs to.  n-grams are of GRAMS bytes of "<word>"; a word has one n-gram at least."""
     rows = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) % WORD_ROWS for w in words], np.int64)
-    coded = [f"<{w[:40]}>".encode("utf-8", "surrogatepass") for w in words]
+    coded = [f"<{w}>".encode("utf-8", "surrogatepass") for w in words]
     size = np.array([len(c) for c in coded], np.int64)
     raw = np.frombuffer(b"".join(coded) + bytes(max(GRAMS)), np.uint8).astype(np.uint64)
     of = np.repeat(np.arange(len(words)), size)

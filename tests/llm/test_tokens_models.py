@@ -107,6 +107,14 @@ def test_gradients():
         assert abs((up - down) / 2e-3 - g[name][at]) < 1e-3, name
 
 
+def test_toxicity_reads_long_runs_to_the_end():
+    """What stands after the 40th character of a run without spaces is a word of its own."""
+    run = "a" * 40 + "b" * 40 + "ccc"
+    assert toxicity.Indexed([run]).words == ["a" * 40, "b" * 40, "ccc"]
+    one, two = (set(toxicity.features(toxicity.Indexed([run + end]).words)[1].tolist()) for end in ("", "venomous"))
+    assert len(two - one) > 5
+
+
 def test_toxicity(spark, make):
     rows = corpus(400, 3)
     docs = make([r[:4] for r in rows] + [(9999, None, None, None), (9998, "", None, None)]).repartition(2)
