@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import re
-import unicodedata
+from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,7 +44,6 @@ INLINE = tuple(
         r"https?://[^\s)>\]]+",  # address
     )
 )
-DIALOGUE = (re.compile(r"^[ \t]*(?:[—–]|--)[^\n]*", re.M), re.compile(r"«[^»\n]*»"))
 FRONTMATTER = re.compile(r"---[ \t]*\n[\s\S]*?\n(?:---|\.\.\.)[ \t]*(?=\n|\Z)")
 FENCE = re.compile(r"[ \t]{0,3}(`{3,}|~{3,})")
 SIGNS = ("---", "```", "~~~", "`", "$$", "<!--", "%%", "[[", "](", "http", "«", "—", "–", "--")
@@ -84,48 +82,11 @@ def merge_spans(spans) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def ignored_spans(text: str, dialogue: bool = False) -> list[tuple[int, int]]:
-    """Zones of a normalised text that are no prose, in code points."""
+def ignored_spans(text: str, dialogue: Iterable[re.Pattern] = ()) -> list[tuple[int, int]]:
+    """Zones of a normalised text that are no prose, in code points; dialogue: patterns of speech that is left out as well."""
     if not any(s in text for s in SIGNS):
         return []
     found = _blocks(text)
-    for p in INLINE + (DIALOGUE if dialogue else ()):
+    for p in (*INLINE, *dialogue):
         found += [m.span() for m in p.finditer(text)]
     return merge_spans(found)
-
-
-PREPARED = "spans array<struct<begin: int, stop: int>>, norms array<string>"
-WORD = r"[\p{L}\p{N}\p{M}]+"
-
-
-def prepare(text: Column, mask: bool = True, dialogue: bool = False) -> Column:
-    """Struct of the zones to ignore in a normalised text, and, only where composing a text changes it, the lower-case
-    composed form of each of its words (else null)."""
-    import regex
-
-    word = regex.compile(WORD)
-
-    @F.pandas_udf(PREPARED)
-    def run(texts: pd.Series) -> pd.DataFrame:
-        spans, norms = [], []
-        for t in texts:
-            t = t or ""
-            zones = ignored_spans(t, dialogue) if mask else []
-            spans.append([{"begin": a, "stop": b} for a, b in zones])
-            if unicodedata.is_normalized("NFC", t) and unicodedata.is_normalized("NFC", t.lower()):
-                norms.append(None)
-            else:
-                for a, b in zones:
-                    t = t[:a] + "\n" * (b - a) + t[b:]
-                norms.append([unicodedata.normalize("NFC", w.lower()) for w in word.findall(t)])
-        return pd.DataFrame({"spans": spans, "norms": norms})
-
-    return run(text)
-
-
-def mask_spans(text: Column, spans: Column) -> Column:
-    """The text with newlines in place of the spans; offsets stay."""
-    return F.aggregate(
-        spans, text,
-        lambda t, s: F.concat(F.substring(t, F.lit(1), s["begin"]), F.repeat(F.lit("\n"), s["stop"] - s["begin"]), F.substring(t, s["stop"] + 1, F.length(t))),
-    )

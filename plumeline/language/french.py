@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Iterable, Mapping
 
-from .french_words import AUXILIARIES, DEFAULT_LEXICON, ER_ENDINGS, FUTURE_ENDINGS, IMPERFECT_ENDINGS, IRREGULAR_VERBS, STOPWORDS
+from .base import Language, register
+from .french_words import AUXILIARIES, COMMON_WORDS, DEFAULT_LEXICON, ER_ENDINGS, FUTURE_ENDINGS, IMPERFECT_ENDINGS, IRREGULAR_VERBS, STOPWORDS
 from .stemmer import stem
 
-__all__ = ["DEFAULT_LEXICON", "STOPWORDS", "alt_stem", "stem", "unligate", "verb_forms", "verb_table"]
+#: Lines that a dash opens, and what stands in quotation marks; what may open a sentence.
+DIALOGUE = (re.compile(r"^[ \t]*(?:[—–]|--)[^\n]*", re.M), re.compile(r"«[^»\n]*»"))
+OPENERS = "«“\"—–("
+
+__all__ = ["DEFAULT_LEXICON", "FRENCH", "STOPWORDS", "alt_stem", "stem", "unligate", "verb_forms", "verb_table"]
 
 
 def conjugated(verb: Mapping) -> list[str]:
@@ -74,3 +80,16 @@ def alt_stem(word: str) -> str | None:
 
 def unligate(word: str) -> str:
     return word.replace("œ", "oe").replace("æ", "ae")
+
+
+def common_stems() -> dict[str, int]:
+    """Stem -> level of the words that are very common without any table; a full table replaces it (see sources.documents)."""
+    return {stem(unligate(w)): 3 for w in COMMON_WORDS.split()}
+
+
+FRENCH = register(
+    Language(
+        name="fr", stem=stem, stopwords=STOPWORDS, lemma=lambda word: verb_table().get(word), alt_stem=alt_stem, plain=unligate, common=common_stems(),
+        verb_forms=verb_forms, lexicon=DEFAULT_LEXICON, dialogue=DIALOGUE, openers=OPENERS,
+    )
+)

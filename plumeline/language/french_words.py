@@ -306,16 +306,7 @@ très, assez, plutôt, vraiment, tellement, un peu, presque, quelque peu, trop,
 
 *ment
 
-sauf: moment, vêtement, mouvement, sentiment, document, logement, gouvernement, comment, bâtiment,
-sauf: instrument, appartement, ornement, élément, sacrement, testament, monument, argument, médicament,
-sauf: fragment, segment, commencement, changement, enseignement, événement, évènement, jugement,
-sauf: tempérament, tourment, tremblement, aliment, serment, ciment, firmament, parlement, règlement,
-sauf: emplacement, remplacement, déplacement, rassemblement, soulagement, avertissement, attachement,
-sauf: étonnement, bruissement, grondement, battement, claquement, craquement, effondrement, abattement,
-sauf: ameublement, engagement, divertissement, établissement, détachement, éloignement, ravissement,
-sauf: frémissement, gémissement, hennissement, vieillissement, apaisement, assoupissement, fonctionnement,
-sauf: environnement, traitement, rendement, paiement, déroulement, ressentiment, tiraillement,
-sauf: bourdonnement, chuchotement, ronflement, froment
+sauf: moment, vêtement, mouvement, sentiment, document, logement, gouvernement, comment, bâtiment, instrument, appartement, ornement, élément, sacrement, testament, monument, argument, médicament, fragment, segment, commencement, changement, enseignement, événement, évènement, jugement, tempérament, tourment, tremblement, aliment, serment, ciment, firmament, parlement, règlement, emplacement, remplacement, déplacement, rassemblement, soulagement, avertissement, attachement, étonnement, bruissement, grondement, battement, claquement, craquement, effondrement, abattement, ameublement, engagement, divertissement, établissement, détachement, éloignement, ravissement, frémissement, gémissement, hennissement, vieillissement, apaisement, assoupissement, fonctionnement, environnement, traitement, rendement, paiement, déroulement, ressentiment, tiraillement, bourdonnement, chuchotement, ronflement, froment
 
 ## Verbes ternes (seuil 6)
 
@@ -329,3 +320,18 @@ chose, choses, quelque chose, truc, trucs, machin, sorte de, genre, un certain,
 
 soudain, soudainement, tout à coup, tout d'un coup, puis, alors, comme si, peut-être
 """
+
+#: Some of the most frequent full words of French prose (our own short choice): very common where no frequency table is given.
+COMMON_WORDS = """
+homme femme enfant fille garçon père mère frère soeur fils ami monsieur madame dame monde gens personne famille nom voix
+main tête visage oeil yeux regard coeur corps bras pied jambe bouche cheveux front épaule doigt dos peau sang larme sourire
+jour nuit matin soir heure minute moment temps fois année an mois semaine hier demain aujourd hui maintenant toujours jamais
+maison chambre porte fenêtre table lit mur rue ville pays route chemin place jardin arbre forêt mer eau terre ciel soleil
+vent feu lumière ombre pierre bois air bruit silence froid chaud blanc noir rouge bleu vert petit grand gros jeune vieux vieil
+bon beau belle mauvais long haut bas nouveau seul premier dernier autre plein vide vrai faux fort doux dur clair sombre
+chose mot parole histoire question idée vie mort amour peur joie guerre force raison part côté bout fond point fin
+dire parler demander répondre regarder voir entendre sentir toucher prendre donner mettre tenir porter tirer pousser venir
+aller partir sortir entrer rentrer passer arriver marcher courir monter descendre tomber rester attendre chercher trouver
+savoir croire penser comprendre vouloir pouvoir devoir falloir aimer vivre mourir ouvrir fermer jouer rire pleurer
+quelqu presqu rien bien mal encore aussi trop peu beaucoup déjà loin près
+"""

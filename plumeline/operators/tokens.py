@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text as T
 from ..language import french
+from ..language.base import resolve
 from ..settings import Settings, word_list
+from ..sources.layout import spread
+from ..sources.lexicon import Lexicon
+from .columnar import EXCLUDED, FULL, FUNCTION, Vocabulary, words
 
-#: What ends a segment between two words, and what may open a sentence.
-HARD_BREAK = r"[.!?…;:\n]"
-OPENER = r"[«“\"—–(]|--"
-PAIR = r"([^\p{L}\p{N}\p{M}]*)([\p{L}\p{N}\p{M}]+)"
+TOKEN = "idx int, begin int, stop int, surface string, norm string, capitalized boolean, sentence_start boolean, segment int, paragraph int"
+#: Characters of texts that are cut into words together (a longer text is taken alone).
+BATCH_CHARS = 500_000
 MIN_WORD = 3
-FUNCTION, FULL, EXCLUDED = 0, 1, 2
 
 
 def tokens(docs: DataFrame, key: tuple[str, ...] = ("doc_id",), mask: bool = True, dialogue: bool = False) -> DataFrame:
@@ -22,28 +27,30 @@ def tokens(docs: DataFrame, key: tuple[str, ...] = ("doc_id",), mask: bool = Tru
     sentence_start, segment (from 1) and paragraph (from 0).
 
     A word is a run of letters, digits and marks.  Zones that are no prose are masked by newlines; a paragraph ends where
-    the text itself has a newline between two words.  Null text has no words.
+    the text itself has a newline between two words.  Null text has no words.  Documents are cut where they are read, by the
+    function that the whole analysis uses (columnar.words): no row is shuffled, and no word carries its document's text.
     """
-    k = list(key)
-    base = docs.select(*k, F.coalesce("text", F.lit("")).alias("source"))
-    base = base.withColumn("plain", T.normalize(F.col("source")))
-    base = base.withColumn("prepared", T.prepare(F.col("plain"), mask, dialogue))
-    masked = F.when(F.size("prepared.spans") > 0, T.mask_spans(F.col("plain"), F.col("prepared.spans"))).otherwise(F.col("plain"))
-    base = base.select(*k, "plain", masked.alias("masked"), F.col("prepared.norms").alias("norms"), (F.size("prepared.spans") > 0).alias("cut"))
-    gaps, words = (F.regexp_extract_all("masked", F.lit(PAIR), F.lit(i)) for i in (1, 2))
-    each = base.select(*k, "plain", "cut", "norms", gaps.alias("gaps"), words.alias("words"))
-    pairs = F.arrays_zip(F.col("gaps").alias("gap"), F.col("words").alias("surface"), F.coalesce("norms", F.transform("words", F.lower)).alias("norm"))
-    t = each.select(*k, F.when(F.col("cut"), F.col("plain")).alias("plain"), F.posexplode(pairs).alias("idx", "w")).select(*k, "plain", "idx", "w.*")
-    w = Window.partitionBy(*k).orderBy("idx")
-    t = t.withColumn("stop", F.sum(F.length("gap") + F.length("surface")).over(w).cast("int"))
-    t = t.withColumn("begin", F.col("stop") - F.length("surface"))
-    hard = (F.col("idx") == 0) | F.col("gap").rlike(HARD_BREAK)
-    original = F.when(F.col("plain").isNull(), F.col("gap")).otherwise(F.substring(F.col("plain"), F.col("begin") - F.length("gap") + 1, F.length("gap")))
-    return t.select(
-        *k, "idx", "begin", "stop", "surface", "norm", F.col("surface").rlike(r"^\p{Lu}").alias("capitalized"),
-        (hard | F.col("gap").rlike(OPENER)).alias("sentence_start"), F.sum(hard.cast("int")).over(w).cast("int").alias("segment"),
-        F.sum(((F.col("idx") > 0) & (F.instr(original, "\n") > 0)).cast("int")).over(w).cast("int").alias("paragraph"),
-    )
+    names = list(key)
+    lean = spread(docs.select(*names, F.coalesce("text", F.lit("")).alias("text")))
+    types = dict(lean.dtypes)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        vocabulary = Vocabulary(resolve(), Settings(), {}, Lexicon([]))
+        for frame in frames:
+            for _, part in frame.groupby(frame["text"].str.len().cumsum() // BATCH_CHARS, sort=False):
+                if len(vocabulary.strings) > vocabulary.most:
+                    vocabulary.clear()
+                w = words(part["text"].tolist(), vocabulary, dialogue, mask)
+                heads = np.flatnonzero(np.diff(w.doc, prepend=-1))
+                of = np.repeat(heads, np.diff(np.append(heads, len(w.doc))))
+                base = w.base[w.doc] if len(w.doc) else w.doc
+                surface = [w.plain[a:b] for a, b in zip(w.begin.tolist(), w.stop.tolist(), strict=True)]
+                out = part[names].iloc[w.doc].reset_index(drop=True)
+                columns = {"idx": np.arange(len(of)) - of, "begin": w.begin - base, "stop": w.stop - base, "surface": pd.Series(surface, dtype=object), "norm": pd.Series([vocabulary.strings[x] for x in w.norm.tolist()], dtype=object), "capitalized": w.capital, "sentence_start": w.opens}
+                first = w.paragraph[of] if len(of) else of
+                yield out.assign(**columns, segment=w.segment - (w.segment[of] if len(of) else of) + 1, paragraph=w.paragraph - first)
+
+    return lean.mapInPandas(run, ", ".join(f"`{c}` {types[c]}" for c in names) + ", " + TOKEN)
 
 
 def stopword(norm: Column) -> Column:
@@ -63,7 +70,9 @@ def proper_names(t: DataFrame, key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
 
 def classified(t: DataFrame, settings: Settings, key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """t with kind: EXCLUDED (proper names, the user's words), FULL (three signs or more, a letter, no function word) or
-    FUNCTION."""
+    FUNCTION.  The words of a document are brought together here, once: every later window by document and anything else
+    finds them so."""
+    t = t.repartition(*key)
     out = named(t, key) if settings.ignore_proper_names else t.withColumn("name", F.lit(False))
     ignored = sorted(word_list(settings.extra_ignored_words))
     excluded = F.col("name") | F.col("norm").isin(ignored) if ignored else F.col("name")

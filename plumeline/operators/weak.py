@@ -8,54 +8,68 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from ..settings import Settings
-from ..sources.lexicon import Lexicon, compile_entries
+from ..sources.lexicon import LEAST_BEFORE, Element, Lexicon, compile_entries
 
 #: Colours of the families in the order of the lexicon.
 FAMILY_COLORS = (1, 3, 5, 7, 9, 10, 11, 6)
 
 
-def _fits(element: tuple, word: Column) -> Column:
-    kind, value = element
-    if kind == "suffix":
-        ending, exceptions = value
-        ok = (F.length(word) >= len(ending) + 3) & word.endswith(ending)
-        return ok & ~word.isin(sorted(exceptions)) if exceptions else ok
-    return word.isin(sorted(value)) if len(value) > 1 else word == next(iter(value))
+#: Rows of the tables of forms that are broadcast; larger lexicons are joined by a shuffle.
+BROADCAST_FORMS = 200_000
+
+
+def _ends(element: Element, word: Column) -> Column:
+    ok = (F.length(word) >= len(element.ending) + LEAST_BEFORE) & word.endswith(element.ending)
+    return ok & ~word.isin(sorted(element.exceptions)) if element.exceptions else ok
 
 
 def weak_candidates(t: DataFrame, lexicon: Lexicon, key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """key, idx, size, rank, segment, paragraph: the best entry that starts at each word inside its segment: more words, then
     exact words before endings, then the earlier family.
 
-    Entries whose first word is known are found by a join on it (a small table from the lexicon, whose size is the
-    driver's); entries that begin with an ending are tried everywhere."""
+    Entries whose first word is known are found by a join of the words with the table of first forms, their other words by
+    joins with the forms at each place; entries that begin with an ending (few) are tried everywhere."""
     entries = compile_entries(lexicon)
     most = max((len(e.elements) for e in entries), default=1)
     w = Window.partitionBy(*key, "segment").orderBy("idx")
     t = t.select(*key, "idx", "segment", "paragraph", "norm", F.array(*[F.lead("norm", k).over(w) for k in range(most)]).alias("ahead"))
     word = lambda k: F.get("ahead", F.lit(k))
-    best = lambda hits: F.array_max(F.filter(F.array(*hits), lambda x: x.isNotNull())) if hits else F.lit(None).cast("struct<score: int, rank: int>")
-
-    def hit(e) -> Column:
-        fits = F.lit(True)
-        for k, element in enumerate(e.elements):
-            fits = fits & F.coalesce(_fits(element, word(k)), F.lit(False))
-        return F.when(fits, F.struct(F.lit(2 * len(e.elements) + (0 if e.pattern else 1)).alias("score"), F.lit(-e.rank).alias("rank")))
-
-    firsts: dict[str, list] = {}
-    for e in entries:
-        if e.elements[0][0] == "words":
-            for f in e.elements[0][1]:
-                firsts.setdefault(f, []).append(e)
-    loose = [e for e in entries if e.elements[0][0] != "words"]
-    t = t.withColumn("best", best([hit(e) for e in loose]))
-    known = t.where(F.col("norm").isin(sorted(firsts))) if firsts else t.where(F.lit(False))
-    keyed = [e for e in entries if e.elements[0][0] == "words"]
-    known = known.withColumn("best", F.greatest(F.col("best"), best([hit(e) for e in keyed])) if keyed and loose else best([hit(e) for e in keyed] or []))
-    rest = t.where(~F.col("norm").isin(sorted(firsts))) if firsts else t
-    both = known.unionByName(rest) if firsts else rest
-    size = F.floor(F.col("best.score") / 2).cast("int")
-    return both.where("best is not null").select(*key, "idx", size.alias("size"), (-F.col("best.rank")).alias("rank"), "segment", "paragraph")
+
+    def forms(place: int) -> DataFrame | None:
+        rows = [(n, f) for n, e in enumerate(entries) if len(e.elements) > place for f in sorted(e.elements[place].forms)]
+        table = t.sparkSession.createDataFrame(rows, "entry int, form string") if rows else None
+        return F.broadcast(table) if rows and len(rows) <= BROADCAST_FORMS else table
+
+    found = []
+    first = forms(0)
+    if first is not None:
+        found.append(t.join(first.withColumnRenamed("form", "norm"), "norm"))
+    for n, e in enumerate(entries):
+        if e.elements[0].ending:
+            found.append(t.where(_ends(e.elements[0], F.col("norm"))).withColumn("entry", F.lit(n)))
+    if not found:
+        return t.where(F.lit(False)).select(*key, "idx", F.lit(0).alias("size"), F.lit(0).alias("rank"), "segment", "paragraph")
+    c = found[0].select(*key, "idx", "segment", "paragraph", "ahead", "entry")
+    for more in found[1:]:
+        c = c.unionByName(more.select(*c.columns))
+    known = F.create_map(*[F.lit(x) for n, e in enumerate(entries) for x in (n, len(e.elements))])
+    c = c.withColumn("words", known[F.col("entry")])
+    for place in range(1, most):
+        table = forms(place)
+        ok = F.col("words") <= place
+        for n, e in enumerate(entries):
+            if len(e.elements) > place and e.elements[place].ending:
+                ok = ok | ((F.col("entry") == n) & F.coalesce(_ends(e.elements[place], word(place)), F.lit(False)))
+        if table is not None:
+            table = table.select(F.col("entry").alias("of"), F.col("form").alias("then"), F.lit(True).alias("hit"))
+            c = c.join(table, (F.col("entry") == F.col("of")) & (word(place) == F.col("then")), "left")
+            ok = ok | F.coalesce("hit", F.lit(False))
+        c = c.where(ok).drop("of", "then", "hit")
+    score = F.create_map(*[F.lit(x) for n, e in enumerate(entries) for x in (n, e.order[0])])
+    rank = F.create_map(*[F.lit(x) for n, e in enumerate(entries) for x in (n, e.rank)])
+    best = F.max(F.struct(score[F.col("entry")].alias("score"), (-rank[F.col("entry")]).alias("rank"), "words"))
+    c = c.groupBy(*key, "idx").agg(best.alias("b"), F.first("segment").alias("segment"), F.first("paragraph").alias("paragraph"))
+    return c.select(*key, "idx", F.col("b.words").alias("size"), (-F.col("b.rank")).alias("rank"), "segment", "paragraph")
 
 
 @F.pandas_udf(ArrayType(StructType([StructField(c, IntegerType()) for c in ("idx", "size", "rank", "paragraph")])))

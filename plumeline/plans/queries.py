@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.words import stems_from_tokens, word_attributes
+from ..functions.words import level, stems_from_tokens, word_attributes
 from ..language import french
 from ..operators import assemble, echo, repetition, scope, tokens, weak
 from ..settings import Settings
@@ -54,7 +54,7 @@ _KINDS = (
     + f""",
 stop_words(w) as (values {_STOP}),
 names as (select distinct doc_id, norm from tok where capitalized and not sentence_start and length(norm) >= 3 and norm not in (select w from stop_words)),
-k as (select tok.*, case when names.norm is not null then 2 when length(tok.norm) >= 3 and regexp_matches(tok.norm, '\\p{{L}}') and tok.norm not in (select w from stop_words) then 1 else 0 end as kind
+k as materialized (select tok.*, case when names.norm is not null then 2 when length(tok.norm) >= 3 and regexp_matches(tok.norm, '\\p{{L}}') and tok.norm not in (select w from stop_words) then 1 else 0 end as kind
   from tok left join names on tok.doc_id = names.doc_id and tok.norm = names.norm)
 """
 )
@@ -70,7 +70,7 @@ _SAME = (
 near as (select doc_id, idx, norm, lag(idx) over w as a, lead(idx) over w as b from k where kind = 1 window w as (partition by doc_id, norm order by idx)),
 same as (select doc_id, idx, a as other, {_level("idx - a")} as level, idx as event from near where idx - a <= 80
   union all select doc_id, idx, b as other, {_level("b - idx")} as level, b as event from near where b - idx <= 80),
-lev as (select * from (select *, row_number() over (partition by doc_id, idx order by level desc, event) as r from same) where r = 1)
+lev as materialized (select * from (select *, row_number() over (partition by doc_id, idx order by level desc, event) as r from same) where r = 1)
 """
 )
 _GRAMS = (
@@ -182,10 +182,12 @@ def q_families(spark, d):
 
 
 def q_rare_echoes(spark, d):
-    """Echoes by form, with the corpus' own counts as rarity: common if a word occurs 10 times or more, else rare."""
+    """Echoes by form, with the corpus' own rates as rarity: occurrences per million words of the table, in the usual bands."""
     k = plain_kinds(spark, d)
     often = k.groupBy("norm").agg(F.count("*").alias("n"))
-    m = k.join(often, "norm").withColumns({"common": F.when(F.col("n") >= 10, 3).otherwise(0), "family": F.col("norm"), "p": F.lit(None)})
+    total = often.agg(F.sum("n").alias("total"))
+    often = often.crossJoin(F.broadcast(total)).select("norm", level(F.col("n") * 1e6 / F.col("total")).alias("common"))  # one row
+    m = k.join(often, "norm").withColumns({"family": F.col("norm"), "p": F.lit(None)})
     m = m.join(repetition.word_levels(k, PLAIN), ["doc_id", "idx"], "left")
     return echo.word_echoes(m, S).select("doc_id", "idx", "echo_other")
 
@@ -239,11 +241,11 @@ def q_highlights(spark, d):
 
 
 def q_summary(spark, d):
-    return analyze(docs(spark, d), color=False).groupBy("category", "intensity").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
+    return analyze(docs(spark, d), color=False, explain=False).groupBy("category", "intensity").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
 
 
 def q_colors(spark, d):
-    return analyze(docs(spark, d)).select("doc_id", "begin", "stop", "family", "color")
+    return analyze(docs(spark, d), explain=False).select("doc_id", "begin", "stop", "family", "color")
 
 
 def q_metrics(spark, d):
@@ -301,8 +303,8 @@ select doc_id, size, phrase, idx, other, idx - other as distance from walk where
     ),
     "verb_lemmas": _t(f", v(norm, lemma) as (values {_VERBS}) select tok.norm, v.lemma, count(*) as n from tok join v on tok.norm = v.norm group by all", _TOKENS),
     "rare_echoes": _t(
-        """, often as (select norm, count(*) as n from k group by norm),
-rare as (select k.doc_id, k.idx, lag(k.idx) over w as a, lead(k.idx) over w as b from k join often using (norm) where kind = 1 and n < 10 window w as (partition by k.doc_id, k.norm order by k.idx)),
+        """, often as (select norm, count(*) * cast(1000000 as double) / (select count(*) from k) as per_million from k group by norm),
+rare as (select k.doc_id, k.idx, lag(k.idx) over w as a, lead(k.idx) over w as b from k join often using (norm) where kind = 1 and per_million < 10 window w as (partition by k.doc_id, k.norm order by k.idx)),
 cut as (select doc_id, idx, case when idx - a <= 5000 then a end as a, case when b - idx <= 5000 then b end as b from rare)
 select doc_id, idx, case when b is null or idx - a <= b - idx then a when a is null then b else b end as echo_other from cut
 where (a is not null or b is not null) and not exists (select 1 from lev where lev.doc_id = cut.doc_id and lev.idx = cut.idx)""",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..language.base import resolve
 from ..operators.colors import assign
-from ..operators.scope import exclusion_of
-from ..plans.analyze import analyze
+from ..plans.analyze import analyze, levels
 from ..settings import Settings
 from ..sources.lexicon import Lexicon
 
@@ -27,17 +27,16 @@ def latest(versions: DataFrame, key: str = "doc_id", order: str = "version") ->
 
 def run(
     versions: DataFrame, sink: Callable[[DataFrame, int], None], settings: Settings | None = None, lexicon: Callable[[], Lexicon] | None = None,
-    common: DataFrame | None = None, checkpoint: str | None = None, trigger: dict | None = None, path: str | None = None,
+    common: DataFrame | Mapping[str, int] | None = None, checkpoint: str | None = None, trigger: dict | None = None, path: str | None = None, frontmatter: str | None = None,
 ) -> StreamingQuery:
-    """Analyses, batch by batch, the last version of every document of a stream (doc_id, version, text, and path to apply the
-    settings' folders).  lexicon is called for each batch, so that a changed note counts at once."""
+    """Analyses, batch by batch, the last version of every document of a stream (doc_id, version, text; path and frontmatter
+    name columns to apply the settings' folders and the ignore tag).  lexicon is called for each batch, so that a changed note
+    counts at once.  Nothing is kept from one batch to the next."""
     settings = settings or Settings()
+    known = levels(common, resolve())
 
     def batch(frame: DataFrame, number: int) -> None:
-        docs = latest(frame)
-        if path:
-            docs = docs.where(exclusion_of(F.col(path), None, settings).isNull())
-        sink(analyze(docs.select("doc_id", "text"), settings, lexicon() if lexicon else None, common), number)
+        sink(analyze(latest(frame), settings, lexicon() if lexicon else None, known, path=path, frontmatter=frontmatter), number)
 
     writer = versions.writeStream.foreachBatch(batch).trigger(**(trigger or {"processingTime": DEBOUNCE}))
     return (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
@@ -47,19 +46,23 @@ COLORED = "doc_id long, version long, begin int, stop int, family string, color
 
 
 def stable_colors(highlights: DataFrame) -> DataFrame:
-    """Colours of a stream of highlights (doc_id, version, begin, stop, family): state per document remembers each family's
-    colour, so that an edit changes none that is there.  All highlights of a version come in one batch."""
+    """Colours of a stream of highlights (doc_id, version, begin, stop, family, category): state per document remembers each
+    family's colour, so that an edit changes none that is there.  Weak families have fixed colours (column color) and take no
+    part.  All highlights of a version come in one batch."""
+    fixed = F.when(F.col("category") == "weak", F.col("color")).cast("int") if {"category", "color"} <= set(highlights.columns) else F.lit(None).cast("int")
+    lean = highlights.select("doc_id", "version", "begin", "stop", "family", fixed.alias("fixed"))
 
     def step(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         memory = dict(zip(*state.get, strict=True)) if state.exists else {}
         rows = pd.concat(list(frames))
         for version, frame in rows.groupby("version", sort=True):
             frame = frame.sort_values(["begin", "stop"])
-            spans = [(b, s, f, None) for b, s, f in zip(frame["begin"].tolist(), frame["stop"].tolist(), frame["family"].tolist(), strict=True)]
+            given = [None if pd.isna(x) else int(x) for x in frame["fixed"]]
+            spans = list(zip(frame["begin"].tolist(), frame["stop"].tolist(), frame["family"].tolist(), given, strict=True))
             yield frame.assign(doc_id=key[0], version=version, color=assign(spans, memory))[["doc_id", "version", "begin", "stop", "family", "color"]]
         state.update((list(memory), list(memory.values())))
 
-    return highlights.groupBy("doc_id").applyInPandasWithState(step, COLORED, "families array<string>, colors array<int>", "append", GroupStateTimeout.NoTimeout)
+    return lean.groupBy("doc_id").applyInPandasWithState(step, COLORED, "families array<string>, colors array<int>", "append", GroupStateTimeout.NoTimeout)
 
 
 def map_offsets(spans: Iterable[tuple[int, int]], changes: Iterable[tuple[int, int, int]]) -> list[tuple[int, int] | None]:

@@ -3,6 +3,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from plumeline.functions.text import ignored_spans, merge_spans, normalize, thousands, utf16_offset
+from plumeline.language.french import FRENCH
 from plumeline.operators.colors import assign
 from plumeline.operators.tokens import tokens
 from plumeline.streaming.versions import map_offsets
@@ -19,7 +20,7 @@ def test_zones():
     assert zones("a\n~~~\ncode") == ["~~~\ncode"]
     assert zones("a `c` b $$x$$ c %%y%% <!-- z -->") == ["`c`", "$$x$$", "%%y%%", "<!-- z -->"]
     assert zones("[[note]] [[cible|vu]] [mot](lien) ![[x.png]] https://a.b/c d") == ["[[cible|", "](lien)", "![[x.png]]", "https://a.b/c"]
-    assert zones("— Oui.\n«non» et", dialogue=True) == ["— Oui.", "«non»"] and zones("— Oui.") == []
+    assert zones("— Oui.\n«non» et", dialogue=FRENCH.dialogue) == ["— Oui.", "«non»"] and zones("— Oui.") == []
     assert merge_spans([(5, 7), (0, 2), (2, 3), (1, 2)]) == [(0, 3), (5, 7)]
 
 
