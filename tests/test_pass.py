@@ -136,7 +136,7 @@ def test_flags_and_scope(spark):
 
 def test_language():
     plain = Language(name="xx", stem=lambda w: w, stopwords=frozenset({"the"}))
-    rows = found(f"river {filler(3)} rivers {filler(3)} the river the", lexicon="", common={}, language=plain)
+    rows = found(f"river {filler(3)} rivers {filler(3, 50)} the river the", lexicon="", common={}, language=plain)
     assert [r["surface"] for r in rows] == ["river", "river"] and resolve("xx") is FRENCH and levels(None, plain) == {}
     assert Lexicon([]).families == parse_lexicon(plain.lexicon).families
 
