@@ -15,16 +15,19 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir as the session has it.
 
-    Only where the session has none (local tests) a temporary folder is made and remembered.
+    Only where the session has none and runs in one process (tests) a temporary folder is made and remembered; on a cluster
+    without the setting this is an error, since a folder of the driver's own would not reach the executors.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if known.isDefined():
             found = known.get()
-        else:
+        elif spark.sparkContext.master.split("[")[0] == "local":
             found = tempfile.mkdtemp(prefix="plumeline-")
             spark.sparkContext.setCheckpointDir(found)
+        else:
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     return found.rstrip("/")
 
 
@@ -35,13 +38,35 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_cut(df: DataFrame) -> None:
-    """Removes the files of a table made by cut() that nothing will read again."""
-    spark = df.sparkSession
+def drop_cut(*tables: DataFrame) -> None:
+    """Removes the files of tables made by cut() that nothing will read again."""
+    for df in tables:
+        for top in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            remove(df.sparkSession, top)
+
+
+def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
-    for top in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(top)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has, whatever its letters' case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def row_key(*columns: Column) -> list[Column]:
+    """Two 64-bit hashes of columns, nulls told from values: 128 bits that know equal rows."""
+    parts = [x for c in columns for x in (c.isNull(), c)]
+    return [F.xxhash64(*parts), F.xxhash64(F.lit(1), *parts)]
 
 
 def word_count(text: Column) -> Column:

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, documents
+from .common import cut, documents, drop_cut, fresh, row_key
 from .components import components
 from .groups import map_groups
 
@@ -31,7 +31,7 @@ WORDS = re.compile(r"[^\W_]+")
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 STEP = 16
-LEAN = "doc_id long, n int, fp long, fp2 long, sig array<long>"
+LEAN = "doc_id long, k1 long, k2 long, n int, fp long, fp2 long, sig array<long>"
 
 
 @functools.cache
@@ -186,9 +186,11 @@ def _lean(docs: DataFrame, width: int) -> DataFrame:
                     one = [int(np.bitwise_xor.reduce(s).view(np.int64)) if len(s) else 0 for s in sets]
                     two = [int((s * np.uint64(0xD6E8FEB86659FD93) ^ (s >> np.uint64(32))).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0 for s in sets]
                 sig = [signature(s).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "n": [len(s) for s in sets], "fp": one, "fp2": two, "sig": sig})
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "k1": part["k1"].to_numpy(), "k2": part["k2"].to_numpy(), "n": [len(s) for s in sets], "fp": one, "fp2": two, "sig": sig})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, LEAN)
+    one, two = row_key(F.col("doc_id"), F.col("text"))
+    lean = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), one.alias("k1"), two.alias("k2"), F.coalesce("text", F.lit("")).alias("text"))
+    return lean.mapInPandas(run, LEAN)
 
 
 def _blocks(df: DataFrame, size: str, limit: int, keys: list[str]) -> DataFrame:
@@ -214,7 +216,14 @@ def links(docs: DataFrame, width: int = 5, threshold: float = 0.8, tolerance: fl
     each other.  Rows with a null doc_id take part; theirs is the smallest id of their group (null).  Rows that repeat a
     doc_id are documents of their own.  An empty table gives an empty table.
     """
-    lean = cut(_lean(docs, width).withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL_ID))), "join-lean")
+    found = _linked(docs, width, threshold, tolerance, bucket_block, cluster_block)
+    back = lambda c: F.when(F.col(c) != NULL_ID, F.col(c)).alias(c)
+    return found.select(back("doc_id"), back("class_id"), back("copy_id"), "n_links")
+
+
+def _linked(docs: DataFrame, width: int, threshold: float, tolerance: float, bucket_block: int, cluster_block: int) -> DataFrame:
+    """links() with NULL_ID for null, the row's key (k1, k2: doc_id and text) and its group (null for texts without words)."""
+    lean = cut(_lean(docs, width), "join-lean")
     some = lean.where("n > 0")
     classes = some.groupBy("fp", "fp2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     classes = cut(classes.select(F.struct("rep", "fp", "fp2").alias("c"), "n", "copies"), "join-classes")
@@ -280,30 +289,38 @@ def links(docs: DataFrame, width: int = 5, threshold: float = 0.8, tolerance: fl
 
     found = cut(map_groups(dealt, ["k1", "k2", "bi", "bj"], verify, f"{schema}, linked long"), "join-found")
     linked = found.groupBy("u").agg(F.sum("linked").alias("linked")).withColumnRenamed("u", "c")
-    group = components(found.select("u", "v"), "join-groups").select(F.col("node").alias("c"), F.col("root.rep").alias("root"))
-    classes = classes.join(linked, "c", "left").join(group, "c", "left")
-    classes = classes.select(F.col("c.fp").alias("fp"), F.col("c.fp2").alias("fp2"), "n", F.col("c.rep").alias("copy_id"), F.coalesce("root", "c.rep").alias("class_id"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    with_set = some.select("doc_id", "n", "fp", "fp2").join(classes, ["fp", "fp2", "n"]).select("doc_id", "class_id", "copy_id", "n_links")
-    without = lean.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), F.lit(0).cast("long").alias("n_links"))
-    back = lambda c: F.when(F.col(c) != NULL_ID, F.col(c)).alias(c)
-    return with_set.unionByName(without).select(back("doc_id"), back("class_id"), back("copy_id"), "n_links")
+    group = components(found.select("u", "v"), "join-groups").select(F.col("node").alias("c"), "root")
+    classes = classes.join(linked, "c", "left").join(group, "c", "left").withColumn("group", F.coalesce("root", "c"))
+    classes = classes.select(F.col("c.fp").alias("fp"), F.col("c.fp2").alias("fp2"), "n", F.col("c.rep").alias("copy_id"), "group", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    row = ["doc_id", "k1", "k2"]
+    with_set = some.select(*row, "n", "fp", "fp2").join(classes, ["fp", "fp2", "n"]).select(*row, F.col("group.rep").alias("class_id"), "copy_id", "n_links", "group")
+    none = F.lit(None).cast(with_set.schema["group"].dataType)
+    without = lean.where("n = 0").select(*row, F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), F.lit(0).cast("long").alias("n_links"), none.alias("group"))
+    drop_cut(cluster, sigs, sets_of)
+    return with_set.unionByName(without)
 
 
 #: Stands for a null doc_id inside.
 NULL_ID = -(1 << 63)
 
 
-def dedup(docs: DataFrame, **how) -> DataFrame:
-    """docs with one document of each group: the one with the smallest doc_id.  All rows without words stay, as do rows of
-    a kept doc_id that are in no group with each other; of rows that repeat a doc_id inside a group one stays."""
+def dedup(docs: DataFrame, width: int = 5, threshold: float = 0.8, tolerance: float = 1e-9) -> DataFrame:
+    """docs with one row of each group: the one with the smallest doc_id (null first), then by a hash of its text.  All rows
+    without words stay.  Rows that repeat a doc_id are rows of their own: in one group one of them stays, in different groups
+    one in each.  Rows alike in doc_id and text are one row read twice, whatever their other columns: one of them stays, the
+    first in the order of their columns' hash.  Columns stay as they are, whatever their names."""
     from pyspark.sql import Window
 
-    found = links(docs, **how).groupBy("doc_id", "class_id", "copy_id").agg(F.count("*").alias("__rows"))
-    found = found.where(F.col("doc_id").eqNullSafe(F.col("class_id")) & F.col("doc_id").eqNullSafe(F.col("copy_id")))
-    keep = found.select(F.col("doc_id").alias("__id")).distinct()
-    stay = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id")
-    place = Window.partitionBy("doc_id", F.lower("text")).orderBy("text")
-    return stay.withColumn("__n", F.row_number().over(place)).where((F.col("__n") == 1) | ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[\p{L}\p{N}]")).drop("__n")
+    found = cut(_linked(docs, width, threshold, tolerance, 1024, 256), "join-linked")
+    best = F.min(F.struct("doc_id", "k1", "k2"))
+    keep = found.where("group is not null").groupBy("group").agg(best.alias("b")).select("b.k1", "b.k2", F.lit(True).alias("once"))
+    keep = keep.unionByName(found.where("group is null").select("k1", "k2", F.lit(False).alias("once")).distinct())
+    one, two, once, n = fresh(docs, "k1", "k2", "once", "n")
+    keep = keep.select(F.col("k1").alias(one), F.col("k2").alias(two), F.col("once").alias(once))
+    k1, k2 = row_key(F.col("doc_id"), F.col("text"))
+    stay = docs.withColumn(one, k1).withColumn(two, k2).join(keep, [one, two])
+    place = Window.partitionBy(one, two).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c, t in docs.dtypes if not t.startswith("map")]))
+    return stay.withColumn(n, F.row_number().over(place)).where((F.col(n) == 1) | ~F.col(once)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, documents, word_count
+from .common import cut, documents, fresh, row_key, word_count
 
 #: The golden ratio's fraction on a scale of 2**31: t * GOLDEN mod 2**31 visits the scale evenly, in whole numbers.
 SCALE, GOLDEN = 1 << 31, 1327217885
@@ -44,7 +44,8 @@ def plan(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1
     source takes its rounded target exactly, and no row more than `most` = 2 times its size.
 
     Returns doc_id, source, size, source_size, target, taken, start (the row's first word in its stream), from0, to0, from1,
-    to1 (words [from, to) of the row that the first and the second pass take) and first_slot (null if nothing is taken).
+    to1 (words [from, to) of the row that the first and the second pass take), slot0, slot1 (the first slot of the schedule
+    that takes of it in each pass) and first_slot (the smaller of these; null if nothing is taken).
     Null or empty texts have size 0 and take 0; rows alike are rows apart; an empty table gives an empty table.
     A source may hold most rows: streams are laid out per hash cell, never in one task.
     """
@@ -102,8 +103,8 @@ def plan(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1
     keys = ["source_no", "cell", "seq", "doc_id", "source", "size", "source_size", "target", "start"]
     return pieces.groupBy(*keys).agg(
         F.sum(F.when(hit, high - low).otherwise(0)).alias("taken"), F.min(F.when(hit, F.col("t"))).alias("first_slot"),
-        F.min(pass_no(False, low)).alias("from0"), F.max(pass_no(False, high)).alias("to0"),
-        F.min(pass_no(True, low)).alias("from1"), F.max(pass_no(True, high)).alias("to1"),
+        F.min(pass_no(False, low)).alias("from0"), F.max(pass_no(False, high)).alias("to0"), F.min(pass_no(False, F.col("t"))).alias("slot0"),
+        F.min(pass_no(True, low)).alias("from1"), F.max(pass_no(True, high)).alias("to1"), F.min(pass_no(True, F.col("t"))).alias("slot1"),
     ).drop("cell", "seq")
 
 
@@ -116,29 +117,40 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     with the text of the words taken (as they stand there, with the white space after each).  Rows without words, of which
     the mix can take nothing, stay away, as do rows beyond their source's target.
 
-    docs' doc_id may repeat; such rows share what is taken of them in the order of their text's hash."""
+    The rows lie in the order of the schedule: each at the slot of the first of its blocks, so that every prefix of the
+    written files holds the sources near their weights.  docs' doc_id may repeat, and rows may be alike; other columns of
+    docs stay as they are, whatever their names."""
     names = docs.columns
-    key = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "source"))
-    base = docs.withColumn("__size", word_count(F.col("text"))).withColumn("__n", key)
-    lean = base.select(F.struct("doc_id", "__n").alias("doc_id"), "source", F.col("__size").alias("size"))
-    taken = plan(lean, **how).where("taken > 0").select(F.col("doc_id.doc_id").alias("__id"), F.col("doc_id.__n").alias("__m"), "from0", "to0", "from1", "to1")
-    joined = base.join(taken, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__n") == F.col("__m")))
-    spans = F.filter(F.array(F.struct(F.col("from0").alias("a"), F.col("to0").alias("b")), F.struct(F.col("from1").alias("a"), F.col("to1").alias("b"))), lambda x: x["b"].isNotNull())
-    rows = joined.withColumn("__span", F.explode(spans))
+    one, two, place, whole, spans, span = fresh(docs, "k1", "k2", "place", "whole", "spans", "span")
+    keys = row_key(F.col("doc_id"), F.col("text"), F.col("source"))
+    lean = docs.select(F.col("doc_id"), keys[0].alias("k1"), keys[1].alias("k2"), "source", word_count(F.col("text")).alias("size"))
+    number = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("doc_id"))
+    lean = cut(lean.withColumn("n", number), "mix-sized")
+    taken = plan(lean.select(F.struct("doc_id", "k1", "k2", "n").alias("doc_id"), "source", "size"), **how).where("taken > 0")
+    passes = F.array(*[F.struct(F.col(f"from{k}").alias("a"), F.col(f"to{k}").alias("b"), F.col(f"slot{k}").alias("slot")) for k in (0, 1)])
+    taken = taken.select("doc_id.k1", "doc_id.k2", "doc_id.n", "size", F.filter(passes, lambda x: x["b"].isNotNull()).alias("p"))
+    taken = taken.groupBy(F.col("k1").alias(one), F.col("k2").alias(two)).agg(F.max("size").alias(whole), F.map_from_entries(F.collect_list(F.struct("n", "p"))).alias(spans))
+
+    # rows alike are numbered where the join has laid them, and each takes the words of its number
+    base = docs.withColumn(one, keys[0]).withColumn(two, keys[1]).join(taken, [one, two])
+    base = base.withColumn(place, F.row_number().over(Window.partitionBy(one, two).orderBy(F.lit(0))))
+    rows = base.withColumn(span, F.explode(F.col(spans)[F.col(place)]))
     words = F.regexp_extract_all(F.col("text"), F.lit(rf"({WORD_AND_SPACE})"), F.lit(1))
-    part = F.array_join(F.slice(words, F.col("__span.a") + 1, F.col("__span.b") - F.col("__span.a")), "")
-    text = F.when((F.col("__span.a") == 0) & (F.col("__span.b") == F.col("__size")), F.col("text")).otherwise(part)
+    part = F.array_join(F.slice(words, F.col(f"{span}.a").cast("int") + 1, (F.col(f"{span}.b") - F.col(f"{span}.a")).cast("int")), "")
+    text = F.when((F.col(f"{span}.a") == 0) & (F.col(f"{span}.b") == F.col(whole)), F.col("text")).otherwise(part)
     cols = {"text": text} | ({"n_chars": F.length(text).cast("long")} if "n_chars" in names else {})
-    return rows.select(*[cols[c].alias(c) if c in cols else F.col(f"`{c}`") for c in names])
+    rows = rows.select(*[cols[c].alias(c) if c in cols else F.col(f"`{c}`") for c in names], F.col(f"{span}.slot").alias(place))
+    return rows.repartitionByRange(place).sortWithinPartitions(place).drop(place)
 
 
 WORD_AND_SPACE = r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """The mix of all documents with weights 3, 1, 2, sharing 150 % of all words."""
+    """The mix of all documents with weights 3, 1, 2, sharing 150 % of all words; slot0, slot1: where the schedule takes of a
+    document in each pass (-1: nothing)."""
     lean = cut(sized(documents(spark, sf_dir)), "mix-sized")
-    return plan(lean).select("doc_id", "size", "source_size", "target", "taken", "source")
+    return plan(lean).select("doc_id", "size", "source_size", "target", "taken", "source", *[F.coalesce(c, F.lit(-1)).cast("long").alias(c) for c in ("slot0", "slot1")])
 
 
 ORACLE = r"""
@@ -150,7 +162,17 @@ l as (select *, (cast(sum(source_size) over () as double) * 1.5 - coalesce(sum(c
   / sum(w) over (order by cap / w, k rows between current row and unbounded following) as level from w),
 t as (select source, source_size, least(cap, max(level) over () * w) as target from l),
 p as (select *, least(cast(floor(target + 0.5) as bigint), source_size) as pass0, greatest(cast(floor(target + 0.5) as bigint) - source_size, 0) as pass1 from t),
-x as (select d.*, cast(sum(size) over (partition by source order by md5(coalesce(cast(doc_id as varchar), 'null') || '/mix'), doc_id, size rows unbounded preceding) as bigint) - size as start from d)
-select doc_id, size, source_size, target, greatest(least(start + size, pass0) - start, 0) + greatest(least(start + size, pass1) - start, 0) as taken, x.source
+x as (select d.*, cast(sum(size) over (partition by source order by md5(coalesce(cast(doc_id as varchar), 'null') || '/mix'), doc_id, size rows unbounded preceding) as bigint) - size as start from d),
+b as (select n.k, p.*, (pass0 + 1023) // 1024 as n0, (pass0 + 1023) // 1024 + (pass1 + 1023) // 1024 as slots from p join n on n.source is not distinct from p.source),
+f as (select *, cast(coalesce(sum(slots) over (order by k rows between unbounded preceding and 1 preceding), 0) as bigint) as head, cast(sum(slots) over () as bigint) as total from b),
+y as (select t, ((((t % 2147483648) * 1327217885) % 2147483648) >> 10) * total // 2097152 as y from (select total, unnest(range(total)) as t from (select distinct total from f))),
+r as (select y.t, f.k, row_number() over (partition by f.k order by y.t) - 1 as r from y join f on y.y >= f.head and y.y < f.head + f.slots),
+g as (select f.k, f.slots, f.head, f.total, count(r.t) as got from f left join r on r.k = f.k group by all),
+e as (select t, k, r from r union all select total + head + r as t, k, r from (select *, unnest(range(got, slots)) as r from g)),
+z as (select e.t, f.source, f.pass0, f.pass1, e.r >= f.n0 as again, case when e.r >= f.n0 then e.r - f.n0 else e.r end as block from e join f on e.k = f.k where e.r < f.slots),
+u as (select x.source, x.doc_id, x.start, x.size, cast(min(case when not again then t end) as bigint) as slot0, cast(min(case when again then t end) as bigint) as slot1
+  from x join z on x.source is not distinct from z.source and x.size > 0 and z.block * 1024 < x.start + x.size and least((z.block + 1) * 1024, case when again then pass1 else pass0 end) > x.start group by all)
+select x.doc_id, x.size, source_size, target, greatest(least(x.start + x.size, pass0) - x.start, 0) + greatest(least(x.start + x.size, pass1) - x.start, 0) as taken, x.source, coalesce(slot0, -1) as slot0, coalesce(slot1, -1) as slot1
 from x join p on x.source is not distinct from p.source
+left join u on u.source is not distinct from x.source and u.doc_id is not distinct from x.doc_id and u.start = x.start and u.size = x.size
 """

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, documents
+from .common import cut, documents, fresh
 
 
 def rendezvous(key: Column, weights: Sequence[float]) -> Column:
@@ -33,16 +33,20 @@ def shard(df: DataFrame, key: str, weights: Sequence[float], order: Sequence[str
 
     Slots follow (cell of the key's hash, key, order).  Counts of `cells` cells a shard give each cell its first slot, so
     no task ever sorts a whole shard: a hot shard or a hot source is spread over all cells.  Rows of one key share a cell;
-    repeated keys get a slot each.  Nulls sort first.  An empty table gives an empty table.  df's columns named shard,
-    slot or __cell are replaced.  df is read twice: give a table that is cheap to read.
+    repeated keys get a slot each, and null keys, of which there may be very many, are dealt to all cells of their shard by
+    a hash of order.  Nulls sort first.  An empty table gives an empty table.  Columns of df named shard or slot are replaced;
+    all others stay, whatever their names.  df is read twice: give a table that is cheap to read.
     """
-    placed = df.withColumns({"shard": rendezvous(df[key], weights), "__cell": F.pmod(F.xxhash64(df[key]), F.lit(cells))})
-    counts = placed.groupBy("shard", "__cell").agg(F.count("*").alias("__n"))
-    before = Window.partitionBy("shard").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("shard", "__cell", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    inside = Window.partitionBy("shard", "__cell").orderBy(key, *order)
-    out = placed.join(starts, ["shard", "__cell"]).withColumn("slot", F.col("__start") + F.row_number().over(inside) - 1)
-    return out.drop("__cell", "__start")
+    df = df.drop("shard", "slot")
+    cell, start, n = fresh(df, "cell", "start", "n")
+    spot = F.when(F.col(key).isNull(), F.xxhash64(F.lit(0), *order)).otherwise(F.xxhash64(key))
+    placed = df.withColumns({"shard": rendezvous(df[key], weights), cell: F.pmod(spot, F.lit(cells))})
+    counts = placed.groupBy("shard", cell).agg(F.count("*").alias(n))
+    before = Window.partitionBy("shard").orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("shard", cell, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(start))
+    inside = Window.partitionBy("shard", cell).orderBy(key, *order)
+    out = placed.join(starts, ["shard", cell]).withColumn("slot", F.col(start) + F.row_number().over(inside) - 1)
+    return out.drop(cell, start)
 
 
 def query(spark, sf_dir: str, shards: int = 8) -> DataFrame:
