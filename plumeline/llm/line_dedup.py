@@ -1,16 +1,21 @@
 """Fuzzy dedup of lines: one line of each component stays.  DataFrame and SQL functions only.
 
-A line's shingles are its pieces of SHINGLE characters at all positions, its grams those of GRAM characters.  Its signature
-is bottom-k MinHash: the SKETCH smallest shingle hashes; a line of SHORT shingles or fewer has a second one of its grams.  BAND
-values that follow each other in a signature make a band.  Lines that share a band are candidates; each candidate pair is
-verified by the exact Jaccard similarity of the two sets of grams.  Union-find over the verified pairs, distributed, gives the
-components.  All members of a bucket are compared, in two rounds: each with its NEAR successors in the bucket's order and with
-the bucket's first, which is all pairs of a small bucket; then, in buckets with more members, each with all those that the
-first round left in another component, in blocks of about BLOCK lines.  Pairs inside a component would change nothing.
-
-Two lines of similarity 0.8 share no band with a probability of about 0.002, of 0.9 with less than 0.00001, if the sets of
-shingles are as similar; scattered edits touch more shingles than grams (about 0.67 for 0.8: 0.003).  Lines are known by a 64-bit
-hash: among 10**10 different lines two share one with a probability of 3 %, and would count as equal.
+Signatures.  A line's shingles are its pieces of SHINGLE characters at all positions; short lines use pieces of GRAM
+characters, those of OVERLAP characters both.  Positions are exploded and hashed in generated code, hashes above a bound
+(CHOSEN are expected below it) go at once, and the smallest hash of each of BINS bins (one-permutation MinHash) is kept.  A
+line that repeats itself may leave few bins filled; it is done again without the bound, and if its pieces are few, with both
+widths.
+Bands.  Two filled bins that follow each other make a band key.  Lines that share a key are candidates, unless their
+signatures have less than AGREE of their values in common.
+Verification.  The exact Jaccard similarity of the two sets of pieces of GRAM characters, counted per pair.  Union-find over
+the verified pairs, distributed, gives the components.
+Buckets.  Each member of a bucket is compared with its NEAR successors in the bucket's order (of chunks of about CHUNK lines)
+and with the first, which is all pairs of a small bucket; then, in larger ones, with all members that this left in another
+component, in blocks of about BLOCK lines of which only candidates come out.  Pairs inside a component would change nothing.
+
+Two lines of similarity 0.8 whose sets of shingles agree by 0.67 (scattered edits touch more shingles than grams) are no
+candidates with a probability of about 0.006, of 0.9 (0.82) with less than 0.0001.  Lines are known by a 64-bit hash: among
+10**10 different lines two share one with a probability of 3 %, and would count as equal.
 """
 
 from __future__ import annotations
@@ -18,12 +23,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, documents
+from .common import cut, documents, drop_cut, fresh
 from .components import components
 
 #: LEAST: lines of fewer characters are too short to judge, and always stay.
-SHINGLE, GRAM, LEAST, SKETCH, BAND, NEAR, SHORT, BLOCK = 9, 5, 5, 12, 2, 8, 30, 512
+SHINGLE, GRAM, LEAST, NEAR, BLOCK, CHUNK = 9, 5, 5, 4, 512, 4096
+#: Bins, hashes expected below the bound, filled bins below which a line is done again, characters of short lines that have
+#: both signatures, share of all values of two candidates that they have in common.
+BINS, CHOSEN, FEW, OVERLAP, AGREE = 14, 32, 7, (40, 60), 0.2
+#: Different grams from which on a line that repeats itself has no signature of grams.
+MANY = 120
+#: Candidate lines that may be broadcast (8 bytes each) to fetch their texts; more are joined by a shuffle.
+BROADCAST_LINES = 1_000_000
 THRESHOLD = 0.8
+VALUE_BITS = 27
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -32,70 +45,129 @@ def lines(docs: DataFrame) -> DataFrame:
     return d.where(F.length("line") >= LEAST).withColumn("h", F.xxhash64("line"))
 
 
-def grams(line: Column, width: int = GRAM) -> Column:
-    """The set of a line's pieces of width characters at all positions, as 64-bit hashes; of a shorter line, the whole line."""
-    starts = F.sequence(F.lit(0), F.greatest(F.length(line) - width, F.lit(0)))
-    return F.array_distinct(_once(F.encode(line, "UTF-32"), lambda b: F.transform(starts, lambda i: F.xxhash64(F.substring(b, 4 * i + 1, F.lit(4 * width))))))
+def _piece(b: str, at: str, width: int) -> str:
+    return f"substring({b}, 4 * ({at}) + 1, {4 * width})"
 
 
-def bands(line: Column) -> Column:
-    """The band keys of a line.  A line with fewer values than a band needs has one key of all its values."""
-    runs = lambda s: F.transform(F.sequence(F.lit(1), F.greatest(F.size(s) - (BAND - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(s, i, F.lit(BAND))))
-    keys = lambda s: _once(F.slice(F.sort_array(s), 1, SKETCH), runs)
-    short = lambda s: F.when(F.size(s) <= SHORT, keys(grams(line))).otherwise(F.array().cast("array<bigint>"))
-    return F.array_distinct(_once(grams(line, SHINGLE), lambda s: F.concat(keys(s), short(s))))
+def _signed(found: DataFrame, whole: bool = False) -> DataFrame:
+    """From h, line: h, kind (0: shingles, 1: grams), n and sig, the smallest hash of each filled bin as 16 * hash + bin.
+    whole: without the bound, and with both kinds for every line."""
+    grams_from, shingles_from = ("true", "true") if whole else (f"n <= {OVERLAP[1]}", f"n >= {OVERLAP[0]}")
+    last = lambda width: f"greatest(n - {width}, 0)"
+    places = f"sequence(if({grams_from}, -{last(GRAM)} - 1, 0), if({shingles_from}, {last(SHINGLE)}, -1))"
+    at = found.select("h", F.encode("line", "UTF-32").alias("b"), F.length("line").alias("n")).select("h", "n", "b", F.expr(f"explode({places})").alias("i"))
+    at = at.select("h", "n", (F.col("i") < 0).cast("int").alias("kind"), "i", F.expr(f"xxhash64(if(i < 0, {_piece('b', '-i - 1', GRAM)}, {_piece('b', 'i', SHINGLE)}))").alias("x"))
+    value = f"(x & {(1 << VALUE_BITS) - 1}L)"
+    below = F.lit(True) if whole else F.expr(f"n <= {CHOSEN} or {value} * n < {CHOSEN << VALUE_BITS}L")
+    at = at.withColumn("below", below).where("below or i = 0 or i = -1")  # a line without any stays in the table
+    at = at.select("h", "kind", "n", F.expr(f"if(below, cast(shiftrightunsigned(x, 33) % {BINS} as int), -1)").alias("bin"), F.expr(f"cast({value} as int)").alias("v"))
+    least = [F.min(F.when(F.col("bin") == k, F.col("v"))).alias(f"v{k}") for k in range(BINS)]
+    tagged = F.array_compact(F.array(*[F.expr(f"v{k} * 16 + {k}") for k in range(BINS)]))
+    return at.groupBy("h", "kind", "n").agg(*least).select("h", "kind", "n", tagged.alias("sig"))
 
 
-def _once(value: Column, use) -> Column:
-    """use(value), with value worked out a single time however often use names it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+def signatures(docs: DataFrame) -> DataFrame:
+    """h, kind, n, sig of the different lines of docs, written to the shared folder."""
+    found = lines(docs).select("h", "line")
+    first = cut(_signed(found), "line-signatures")
+    few = cut(first.where((F.size("sig") < FEW) & (F.col("n") > CHOSEN)).select("h").distinct(), "line-repetitive")
+    # grams serve lines of few different ones, which may be a short line's; smallest hashes that lie low tell of many
+    mean = F.aggregate("sig", F.lit(0).cast("long"), lambda total, x: total + F.shiftright(x, 4)) / F.size("sig")
+    again = _signed(_texts(found, few), whole=True).where((F.col("kind") == 0) | (mean * MANY >= BINS << VALUE_BITS))
+    again = cut(again, "line-signatures-again")
+    return first.join(_small(few), "h", "left_anti").unionByName(again)
+
+
+def _small(some: DataFrame) -> DataFrame:
+    """some (of one long a row), marked for broadcast if it is small enough for that."""
+    return F.broadcast(some) if some.count() <= BROADCAST_LINES else some
+
+
+def _texts(found: DataFrame, some: DataFrame) -> DataFrame:
+    """h, line of the lines that some (h) names."""
+    return found.join(_small(some), "h", "left_semi").groupBy("h").agg(F.first("line").alias("line"))
+
+
+def band_keys(signed: DataFrame) -> DataFrame:
+    """h, key: a key for each filled bin and the next one; a line with one filled bin has one key of it.  The key's lowest bit
+    is the signature's kind."""
+    keys = [F.when(F.size("sig") > k, F.xxhash64("kind", F.get("sig", F.lit(k - 1)), F.get("sig", F.lit(k)))) for k in range(1, BINS)]
+    alone = F.when(F.size("sig") == 1, F.xxhash64("kind", F.get("sig", F.lit(0))))
+    each = signed.select("h", "kind", F.explode(F.array(*keys, alone)).alias("key")).where("key is not null")
+    return each.select("h", F.expr("(key & -2L) | kind").alias("key"))
+
+
+def _agree(a: str, b: str) -> Column:
+    """Whether two signatures have enough of their values in common."""
+    return _once(F.size(F.array_intersect(a, b)), lambda k: k >= F.lit(AGREE) * (F.size(a) + F.size(b) - k))
+
+
+def _ordered(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
 
 
 def verified_pairs(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """u, v: hashes of two different lines of docs whose similarity reaches the threshold.  Of the pairs that share a band,
     those are left out that others connect."""
-    found = lines(docs).select("h", F.explode(bands(F.col("line"))).alias("key")).distinct()
-    order = Window.partitionBy("key").orderBy(F.xxhash64("h", "key"))
-    partners = [F.lead("h", k).over(order) for k in range(1, NEAR + 1)] + [F.first("h").over(order)]
+    signed = signatures(docs)
     size = F.count("*").over(Window.partitionBy("key"))
-    buckets = found.select("h", "key", size.alias("size"), F.array_distinct(F.array_compact(F.array(*partners))).alias("others"))
-    buckets = cut(buckets.where("size > 1"), "line-buckets")
-    texts = lines(docs).join(buckets.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.min("line").alias("line"))
-    texts = cut(texts.withColumn("n", F.size(grams(F.col("line")))), "line-texts")
-
-    pairs = buckets.select("h", F.explode("others").alias("o")).where("h <> o")
-    pairs = pairs.select(F.least("h", "o").alias("u"), F.greatest("h", "o").alias("v")).distinct()
-    near = cut(_close(pairs, texts, threshold), "line-near")
-    group = components(near, "line-near-components")
-    return near.unionByName(_close(_apart(buckets, group, texts, threshold), texts, threshold))
-
-
-def _apart(buckets: DataFrame, group: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """u, v: pairs of a bucket of more than NEAR + 1 lines that are in different components of group, and whose numbers of
-    grams don't rule the threshold out."""
-    large = buckets.where(F.col("size") > NEAR + 1).select("h", "key").join(texts.select("h", "n"), "h")
-    large = large.join(group.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
-    mixed = large.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    dealt = large.join(mixed.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("chunks")), "key")
-    dealt = dealt.withColumn("x", F.pmod(F.xxhash64("h"), F.col("chunks")).cast("int")).withColumn("y", F.explode(F.expr("sequence(0, chunks - 1)")))
-    dealt = cut(dealt.select("key", F.least("x", "y").alias("bi"), F.greatest("x", "y").alias("bj"), "x", "h", "n", "root"), "line-blocks")
-    left = dealt.where("x = bi").select("key", "bi", "bj", F.col("h").alias("a"), F.col("n").alias("m"), F.col("root").alias("r"))
-    right = dealt.where("x = bj").select("key", "bi", "bj", F.col("h").alias("b"), "n", "root")
-    both = left.join(right, ["key", "bi", "bj"]).where("r <> root and (bi < bj or a < b)").where(_alike("m", "n", threshold))
-    return both.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
-
-
-def _alike(m: str, n: str, threshold: float) -> Column:
-    """Whether sets of m and n members can reach the threshold."""
-    return F.least(m, n) >= F.lit(threshold) * F.greatest(m, n) - F.lit(1e-9)
-
-
-def _close(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs whose exact similarity reaches the threshold."""
-    side = lambda h, line, n: texts.select(F.col("h").alias(h), F.col("line").alias(line), F.col("n").alias(n))
-    both = pairs.join(side("u", "a", "m"), "u").join(side("v", "b", "n"), "v").where(_alike("m", "n", threshold))
-    close = lambda k: k >= F.lit(threshold) * (F.col("m") + F.col("n") - k) - F.lit(1e-9)
-    return both.where(_once(F.size(F.array_intersect(grams(F.col("a")), grams(F.col("b")))), close)).select("u", "v")
+    members = cut(band_keys(signed).withColumn("size", size).where("size > 1").withColumn("kind", F.expr("cast(key & 1 as int)")), "line-members")
+    shared = cut(members.join(signed.drop("n"), ["h", "kind"]), "line-buckets")
+    drop_cut(members, signed)
+    members = shared
+
+    # a large bucket's order is laid out in chunks, so that no task sorts all of it
+    order = Window.partitionBy("key", F.pmod(F.xxhash64("h"), F.ceil(F.col("size") / CHUNK))).orderBy(F.xxhash64("h", "key"))
+    mine = F.struct("h", "sig")
+    partners = [F.lead(mine, k).over(order) for k in range(1, NEAR + 1)]
+    near = members.select("h", "sig", F.array(*partners, F.first(mine).over(order)).alias("o")).select("h", "sig", F.explode("o").alias("o")).where("h <> o.h")
+    near = near.where(_agree("sig", "o.sig")).select("h", F.col("o.h").alias("g"))
+    near = cut(near.select(*_ordered("h", "g")).distinct(), "line-near")
+    found = lines(docs).select("h", "line")
+    close = cut(_close(near, found, threshold), "line-close")
+    group = components(close, "line-close-components")
+    far = cut(_apart(members, group).join(near, ["u", "v"], "left_anti"), "line-far")
+    drop_cut(members, near, group)
+    more = cut(_close(far, found, threshold), "line-far-close")
+    drop_cut(far)
+    return close.unionByName(more)
+
+
+def _apart(members: DataFrame, group: DataFrame) -> DataFrame:
+    """u, v: candidates of a bucket of more than NEAR + 1 lines that are in different components of group."""
+    large = members.where(F.col("size") > NEAR + 1).join(group.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
+    large = cut(large, "line-large")
+    mixed = large.groupBy("key").agg(F.min("root").alias("lowest"), F.max("root").alias("highest")).where("lowest <> highest")
+    large = cut(large.join(mixed.select("key"), "key"), "line-mixed").withColumn("chunks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    large = large.withColumn("x", F.pmod(F.xxhash64("h"), F.col("chunks")).cast("int")).withColumn("y", F.explode(F.expr("sequence(0, chunks - 1)")))
+    large = large.withColumns({"bi": F.least("x", "y"), "bj": F.greatest("x", "y")})
+    half = lambda at, *names: large.where(f"x = {at}").select("key", "bi", "bj", *[F.col(c).alias(n) for c, n in zip(("h", "root", "sig"), names, strict=True)])
+    both = half("bi", "a", "r", "p").join(half("bj", "b", "s", "q"), ["key", "bi", "bj"]).where("r <> s and (bi < bj or a < b)").where(_agree("p", "q"))
+    return both.select(*_ordered("a", "b")).distinct()
+
+
+def grams(line: Column) -> Column:
+    """The set of a line's pieces of GRAM characters at all positions, as 64-bit hashes; of a shorter line, the whole line."""
+    starts = F.sequence(F.lit(0), F.greatest(F.length(line) - GRAM, F.lit(0)))
+    return F.array_distinct(_once(F.encode(line, "UTF-32"), lambda b: F.transform(starts, lambda i: F.xxhash64(F.substring(b, 4 * i + 1, F.lit(4 * GRAM))))))
+
+
+def _once(value: Column, use) -> Column:
+    """use(value), with value worked out a single time however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _close(pairs: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a written table) whose exact similarity reaches the threshold.  Numbers of grams go first: sets of m < n
+    members can't reach it if m < threshold * n."""
+    some = cut(pairs.select(F.explode(F.array("u", "v")).alias("h")).distinct(), "line-wanted")
+    texts = cut(_texts(found, some).withColumn("n", F.size(grams(F.col("line")))), "line-texts")
+    count = lambda h, n: texts.select(F.col("h").alias(h), F.col("n").alias(n))
+    side = lambda h, line: texts.select(F.col("h").alias(h), F.col("line").alias(line))
+    sized = pairs.join(count("u", "m"), "u").join(count("v", "n"), "v").where(F.least("m", "n") >= F.lit(threshold) * F.greatest("m", "n") - F.lit(1e-9))
+    both = cut(sized, "line-sized").join(side("u", "a"), "u").join(side("v", "b"), "v")
+    reach = lambda k: k >= F.lit(threshold) * (F.col("m") + F.col("n") - k) - F.lit(1e-9)
+    return both.where(_once(F.size(F.array_intersect(grams(F.col("a")), grams(F.col("b")))), reach)).select("u", "v")
 
 
 def kept_positions(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -128,17 +200,17 @@ def dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with the lines that stay (see decisions), in their order; a column n_chars follows the new text.  Documents of
     which no line with a sign other than white space is left go; those that had none stay as they are."""
     names = docs.columns
-    kept = kept_positions(docs, threshold).withColumnsRenamed({"doc_id": "__id", "th": "__t"}).withColumnRenamed("kept", "__kept")
-    joined = docs.withColumn("__th", F.xxhash64("text")).join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__t")), "left")
-    parts = F.split("text", "\n")
+    of, t, kept, h, parts, places, new = fresh(docs, "of", "t", "kept", "h", "parts", "places", "new")
+    found = kept_positions(docs, threshold).select(F.col("doc_id").alias(of), F.col("th").alias(t), F.col("kept").alias(kept))
+    joined = docs.withColumn(h, F.xxhash64("text")).join(found, F.col("doc_id").eqNullSafe(F.col(of)) & (F.col(h) == F.col(t)), "left")
+    joined = joined.withColumn(parts, F.split("text", "\n"))
     short = F.filter(F.transform(parts, lambda x, i: F.when(F.length(x) < LEAST, i)), lambda i: i.isNotNull())
-    places = F.array_sort(F.concat(short, F.coalesce("__kept", F.array().cast("array<int>"))))
-    joined = joined.withColumn("__parts", parts).withColumn("__places", places)
-    joined = joined.withColumn("__new", F.array_join(F.transform("__places", lambda i: F.get(F.col("__parts"), i)), "\n"))
+    joined = joined.withColumn(places, F.array_sort(F.concat(short, F.coalesce(kept, F.array().cast("array<int>")))))
+    joined = joined.withColumn(new, F.array_join(F.transform(places, lambda i: F.get(F.col(parts), i)), "\n"))
     blank = lambda c: F.coalesce(F.trim(F.regexp_replace(c, r"\s+", "")), F.lit("")) == ""
-    joined = joined.where(~blank(F.col("__new")) | blank(F.col("text")))
-    new = {"text": F.col("__new")} | ({"n_chars": F.length("__new").cast("long")} if "n_chars" in names else {})
-    return joined.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in names])
+    joined = joined.where(~blank(F.col(new)) | blank(F.col("text")))
+    changed = {"text": F.col(new)} | ({"n_chars": F.length(new).cast("long")} if "n_chars" in names else {})
+    return joined.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in names])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
