@@ -2,8 +2,8 @@
 
 The library spends about a microsecond a character, most of it on words it has seen before.  The pre-tokenizer of
 byte-level BPE cuts a text into words that are encoded apart from each other, so a text's ids are its words' ids in a row.
-Here numpy finds the words of a batch of texts, a hash table gives the ids of known words, and the library encodes those
-that are new, as pre-tokenized input.  Tests hold the ids against the library's own on random Unicode.
+Here numpy finds the words of a batch of texts, a hash table gives the ids of known words (every word found is compared with
+the one that was learned), and the library encodes those that are new, as pre-tokenized input.  Tests hold the ids against the library's own on random Unicode.
 """
 
 from __future__ import annotations
@@ -108,7 +108,9 @@ class WordTokenizer:
         self.begin = np.zeros(1 << self.bits, np.int64)
         self.count = np.zeros(1 << self.bits, np.int32)
         self.pool = np.zeros(1 << 16, np.uint32)
-        self.used = self.words = 0
+        self.spelt = np.zeros(1 << 16, np.uint32)  # the words themselves, to tell words of one key apart
+        self.spelling = np.zeros(1 << self.bits, np.int64)
+        self.used = self.words = self.signs = 0
 
     def _probe(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Slot of each key, and whether it is there; else an empty slot."""
@@ -133,6 +135,13 @@ class WordTokenizer:
         self.pool[self.used : self.used + len(ids)] = ids
         begin = self.used + np.cumsum(count) - count
         self.used += len(ids)
+        signs = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        length = np.array([len(w) for w in words], np.int64)
+        while self.signs + len(signs) > len(self.spelt):
+            self.spelt = np.concatenate([self.spelt, np.zeros(len(self.spelt), np.uint32)])
+        self.spelt[self.signs : self.signs + len(signs)] = signs
+        spelling = self.signs + np.cumsum(length) - length
+        self.signs += len(signs)
         self.words += len(words)
         left = np.arange(len(keys))
         while len(left):
@@ -141,6 +150,7 @@ class WordTokenizer:
             self.keys[slot[one]] = keys[left[one]]
             self.begin[slot[one]] = begin[left[one]]
             self.count[slot[one]] = count[left[one]]
+            self.spelling[slot[one]] = spelling[left[one]]
             left = np.delete(left, one)
 
     def _batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -172,6 +182,10 @@ class WordTokenizer:
                 self._clear()
             self._learn(new, [joined[a:b] for a, b in zip(s[at].tolist(), e[at].tolist(), strict=True)])
             slot, _ = self._probe(keys)
+        same = self.spelt[np.repeat(self.spelling[slot] - s, e - s) + np.arange(n)] == points
+        if not same.all():  # another word with the same key: the library alone does these texts
+            each = [np.array(self.lib.encode(t, add_special_tokens=False).ids, np.uint32) for t in texts]
+            return np.concatenate(each), np.array([len(x) for x in each], np.int64)
         count = self.count[slot].astype(np.int64)
         ends = np.cumsum(count)
         total = int(ends[-1])

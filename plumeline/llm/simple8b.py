@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import tokenizer, vocabulary
-from .common import documents, shared_dir
+from .common import cut, documents, remove, shared_dir
 
 #: Selector (the word's top four bits) -> ids in a word and bits of each.  Selector 0 is the escape: one id of 64 bits
 #: follows as a raw word.
@@ -204,7 +204,10 @@ def read(spark, path: str) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """Writes the ids of all documents and returns what the files say of each."""
+    """Writes the ids of all documents and returns what the files say of each.  The files are the query's product; what it
+    says of them is cut from them, and they are removed."""
     path = f"{shared_dir(spark)}/plumeline/op7-{uuid.uuid4().hex}"
     write(documents(spark, sf_dir), path, vocabulary())
-    return read(spark, path)
+    out = cut(read(spark, path), "op7-read")
+    remove(spark, path)
+    return out

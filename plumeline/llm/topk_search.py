@@ -13,7 +13,9 @@ from .vectors import matrix, query_blocks, search, shard_list, sharded, usable
 
 SCALE = 64
 #: Rows of a shard, queries of a block, and levels of quantised impact.
-SHARD, BLOCK, LEVELS = 8192, 256, 5
+SHARD, BLOCK, LEVELS = 8192, 256, 16
+#: A query stops when at most so many times the wanted rows are possible.
+FEW = 16
 
 
 def build(ids: np.ndarray, x: np.ndarray) -> bytes:
@@ -23,7 +25,11 @@ def build(ids: np.ndarray, x: np.ndarray) -> bytes:
     size = np.abs(x)
     some = np.unique(size[size > 0])
     levels = min(LEVELS, len(some))
-    bounds = np.quantile(size[size > 0], np.arange(1, levels)[::-1] / levels).round() if levels > 1 else np.zeros(0)
+    # the square of impacts is dealt evenly: low levels hold many postings that can add little
+    ordered = np.sort(size[size > 0])
+    mass = np.cumsum(ordered**2)
+    bounds = np.unique(ordered[np.searchsorted(mass, mass[-1] * np.arange(1, levels) / levels)])[::-1] if levels > 1 else np.zeros(0)
+    levels = len(bounds) + 1 if levels else 0
     level = (size[..., None] <= bounds).sum(axis=-1) if levels else np.zeros(x.shape, np.int64)
     vec, d = np.nonzero(size)
     order = np.lexsort((vec, d, level[vec, d]))
@@ -35,68 +41,83 @@ def build(ids: np.ndarray, x: np.ndarray) -> bytes:
     return out.getvalue()
 
 
-def find(index: bytes, query_ids: np.ndarray, queries: np.ndarray, top: int) -> pd.DataFrame:
-    """Each query's `top` best of a shard.
-
-    Segments are read by descending level, and every level adds its part of all scores.  What a vector's unread postings
-    can still add lies within |query| * |rest|; a query stops once this proves that all but a few vectors are out, and
-    those few are scored exactly on their postings.  Reading all levels proves every score.
-    """
-    z = np.load(io.BytesIO(index))
-    ids, (rows, dim, levels) = z["ids"], z["shape"].tolist()
-    q = np.floor(queries * SCALE)
-    impact, vec, starts, rest = z["impact"], z["vec"], z["starts"], z["rest"]
-    whole = np.zeros((rows, dim))
-    exact = np.abs(q).max(initial=0) * np.abs(impact).max(initial=0) * dim < 2**52
-    small = np.abs(q).max(initial=0) * np.abs(impact).max(initial=0) * dim < 2**23
-    kind = np.float32 if small else np.float64
-    length = np.sqrt((q * q).sum(axis=1))
-    acc = np.zeros((len(q), rows), kind)
-    active = np.arange(len(q))
-    out: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(q)
-    keep = min(rows, top + int(np.unique(ids, return_counts=True)[1].max(initial=1)))  # the query's own rows may be among them
-    for k in range(max(levels, 1)):
-        if levels:
-            a, b = starts[k * dim], starts[(k + 1) * dim]
-            d = np.repeat(np.arange(dim), np.diff(starts[k * dim : (k + 1) * dim + 1]))
-            part = np.zeros((rows, dim), kind)
-            part[vec[a:b], d] = impact[a:b]
-            whole[vec[a:b], d] = impact[a:b]
-            acc[active] += q[active].astype(kind) @ part.T
-        last = k >= levels - 1
-        slack = (length[active][:, None] * rest[k][None, :]) * (1 + 1e-9) + 1e-6 if not last else 0.0
-        bar = np.partition(acc[active] - slack, rows - keep, axis=1)[:, rows - keep]
-        possible = acc[active] + slack >= bar[:, None]
-        count = possible.sum(axis=1)
-        stop = (count <= 4 * keep) | last
-        for i in np.flatnonzero(stop).tolist():
-            out[active[i]] = (np.flatnonzero(possible[i]), None)
-        active = active[~stop]
-        if not len(active):
-            break
-    if not last:  # the rest of the postings, for the exact scores
-        for s in range((k + 1) * dim, levels * dim):
-            whole[vec[starts[s] : starts[s + 1]], s % dim] = impact[starts[s] : starts[s + 1]]
-    found = []
-    for i in range(len(q)):
-        at = out[i][0]
-        at = at[ids[at] != query_ids[i]]
-        score = (whole[at] @ q[i]).astype(np.int64) if exact else np.array([sum(int(a) * int(b) for a, b in zip(whole[j].tolist(), q[i].tolist(), strict=True)) for j in at], object)
-        best = np.lexsort((ids[at], -score))[:top]
-        found.append(pd.DataFrame({"query_id": query_ids[i], "vec_id": ids[at][best], "score": score[best]}))
-    return pd.concat(found, ignore_index=True) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-
-
-def search_top(df: DataFrame, queries: DataFrame, top: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+class Index:
+    """A shard's postings as they are read: each level's whole postings as columns by dimension."""
+
+    def __init__(self, raw: bytes):
+        z = np.load(io.BytesIO(raw))
+        self.ids, (self.rows, self.dim, self.levels) = z["ids"], z["shape"].tolist()
+        self.vec, self.impact, self.starts, self.rest = z["vec"], z["impact"], z["starts"], z["rest"]
+        self.repeats = int(np.unique(self.ids, return_counts=True)[1].max(initial=1))
+        self.largest = np.abs(self.impact).max(initial=0)
+        #: Postings that queries read before they stopped, and those they would read without stopping.
+        self.read = self.all = 0
+
+    def level(self, k: int, out: np.ndarray) -> np.ndarray:
+        """Puts the postings of level k into out (rows, dim)."""
+        a, b = self.starts[k * self.dim], self.starts[(k + 1) * self.dim]
+        d = np.repeat(np.arange(self.dim), np.diff(self.starts[k * self.dim : (k + 1) * self.dim + 1]))
+        out[self.vec[a:b], d] = self.impact[a:b]
+        return out
+
+    def find(self, query_ids: np.ndarray, queries: np.ndarray, top: int) -> pd.DataFrame:
+        """Each query's `top` best of a shard.
+
+        Segments are read by descending level, and every level adds its part of all scores.  What a vector's unread postings
+        can still add lies within |query| * |rest|, rest the length of what the vector has left; a query stops once this
+        proves that all but a few vectors are out, and those few are scored exactly on their postings.  Reading all levels
+        proves every score.
+        """
+        rows, dim, levels = self.rows, self.dim, self.levels
+        q = np.floor(queries * SCALE)
+        bound = np.abs(q).max(initial=0) * self.largest * dim
+        kind = np.float32 if bound < 2**23 else np.float64
+        length = np.sqrt((q * q).sum(axis=1))
+        acc = np.zeros((len(q), rows), kind)
+        active = np.arange(len(q))
+        possible: list[np.ndarray] = [np.zeros(0, np.int64)] * len(q)
+        keep = min(rows, top + self.repeats)  # the query's own rows may be among them
+        for k in range(max(levels, 1)):
+            if levels:
+                acc[active] += q[active].astype(kind) @ self.level(k, np.zeros((rows, dim), kind)).T
+                self.read += len(active) * int(self.starts[(k + 1) * dim] - self.starts[k * dim])
+            last = k >= levels - 1
+            slack = (length[active][:, None] * self.rest[k][None, :]) * (1 + 1e-9) + 1e-6 if not last else 0.0
+            bar = np.partition(acc[active] - slack, rows - keep, axis=1)[:, rows - keep]
+            left = acc[active] + slack >= bar[:, None]
+            stop = (left.sum(axis=1) <= FEW * keep) | last
+            for i in np.flatnonzero(stop).tolist():
+                possible[active[i]] = np.flatnonzero(left[i])
+            active = active[~stop]
+            if not len(active):
+                break
+        self.all += len(q) * len(self.vec)
+        whole = np.zeros((rows, dim))
+        for j in range(levels):
+            self.level(j, whole)
+        found = []
+        for i in range(len(q)):
+            at = possible[i]
+            at = at[self.ids[at] != query_ids[i]]
+            if bound < 2**52:
+                score = (whole[at] @ q[i]).astype(np.int64)
+            else:
+                score = np.array([sum(int(a) * int(b) for a, b in zip(whole[j].tolist(), q[i].tolist(), strict=True)) for j in at], object)
+            best = np.lexsort((self.ids[at], -score))[:top]
+            found.append(pd.DataFrame({"query_id": query_ids[i], "vec_id": self.ids[at][best], "score": score[best]}))
+        return pd.concat(found, ignore_index=True) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+
+
+def search_top(df: DataFrame, queries: DataFrame, top: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", shard: int = SHARD) -> DataFrame:
     """query_id, rank, vec_id, score: the `top` rows of df with the greatest inner product with each row of queries, both
     after floor(64 * x); ties to the smaller vec_id.  Rows with the query's own id are no candidates.  Vectors that are
     null, empty or hold null or non-finite components, and rows without id, take no part; vectors of another length than
     the query's are not compared with it.  Candidates lie in shards of bounded size and meet the queries block by block."""
     x = usable(df, id_col, vector_col, nonzero=False)
-    counts = shard_list(x, SHARD)
+    counts = shard_list(x, shard)
     index = sharded(x, counts, lambda f: build(f["vec_id"].to_numpy(np.int64), np.floor(matrix(f["vector"]) * SCALE)), "topk-index")
     blocks = query_blocks(usable(queries, id_col, vector_col, nonzero=False), counts, BLOCK)
-    return search(index, blocks, lambda i, n, q: find(i, n, q, top), top, F.col("score").desc(), "long")
+    return search(index, blocks, Index, lambda i, n, q: i.find(n, q, top), top, F.col("score").desc(), "long")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

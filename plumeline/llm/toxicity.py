@@ -16,7 +16,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import documents
@@ -28,6 +28,8 @@ WORD_ROWS, GRAM_ROWS, WIDTH, HIDDEN = 1 << 13, 1 << 14, 16, 12
 GRAMS = (3, 5)
 DECAY = 0.3
 BATCH, LEAST_STEPS = 64, 300
+#: Characters that are scored together (a longer text is scored alone), and characters of all texts that training takes.
+BATCH_CHARS, SAMPLE_CHARS = 300_000, 60_000_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -126,9 +128,9 @@ class Network:
     def logits(self, gates: np.ndarray, windows: np.ndarray) -> np.ndarray:
         """windows: (B, T) rows of gates, -1 beyond the window's end."""
         out = np.empty(len(windows), np.float32)
-        for a in range(0, len(windows), 2048):
-            x, mask = _laid(gates, windows[a : a + 2048])
-            out[a : a + 2048] = self.forward(x, mask)[0]
+        for a in range(0, len(windows), 1024):
+            x, mask = _laid(gates, windows[a : a + 1024])
+            out[a : a + 1024] = self.forward(x, mask)[0]
         return out
 
     def gradients(self, rows, grams, owner, windows, labels, weights, keep) -> dict[str, np.ndarray]:
@@ -286,7 +288,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 6, seed: int = 5,
 class Scorer:
     """Scores texts with a network; keeps the input gates of up to `most` distinct words."""
 
-    def __init__(self, net: Network, empty: float, most: int = 300_000):
+    def __init__(self, net: Network, empty: float, most: int = 150_000):
         self.net, self.empty, self.most = net, empty, most
         self.known: dict[str, int] = {}
         self.gates = np.zeros((2, most, 3 * HIDDEN), np.float32)
@@ -322,12 +324,16 @@ class Scorer:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int) -> pd.DataFrame:
-    """At most `most` rows of each label (text, toxic), the first by a hash of doc_id, none of the held-out rows."""
+    """At most `most` toxic rows and twice as many others (text, toxic), the first by a hash of doc_id and text, none of the
+    held-out rows; of these, as many from the first on as have SAMPLE_CHARS characters together."""
     ids = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     known = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     parts = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in ((1, most), (0, 2 * most))]
     chosen = parts[0].unionByName(parts[1])
-    rows = ids.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(4 * most)
+    rows = ids.join(F.broadcast(chosen), "doc_id").withColumn("place", F.xxhash64("doc_id", "text"))
+    places = rows.select("place", F.length("text").alias("n")).orderBy("place").limit(4 * most)
+    places = places.withColumn("until", F.sum("n").over(Window.orderBy("place"))).where(F.col("until") <= SAMPLE_CHARS).select("place").distinct()
+    rows = rows.join(F.broadcast(places), "place").orderBy("place", "text").limit(4 * most)
     return rows.select("text", "toxic").toPandas()
 
 
@@ -343,7 +349,7 @@ def _judged(docs: DataFrame, labels: DataFrame, most: int):
             out, a, size = [], 0, 0
             for b, t in enumerate(texts, 1):
                 size += len(t)
-                if size > 1_000_000 or b == len(texts):
+                if size > BATCH_CHARS or b == len(texts):
                     out.append(mine.scores(texts[a:b]))
                     a, size = b, 0
             return np.concatenate(out) if out else np.zeros(0)

@@ -58,18 +58,25 @@ def matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
 
-def search(index: DataFrame, blocks: DataFrame, find: Callable, top: int, score: Column, schema: str) -> DataFrame:
-    """find(index, query_ids, queries) on every pair of shard and block; per query the first `top` by score, then vec_id."""
+def search(index: DataFrame, blocks: DataFrame, load: Callable, find: Callable, top: int, score: Column, schema: str) -> DataFrame:
+    """find(load(index), query_ids, queries) on every pair of shard and block; per query the first `top` by score, then vec_id.
+
+    A shard's index goes to one task, ahead of the blocks of queries, is loaded once, and the blocks stream past it."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current = None
         for frame in frames:
             for r in frame.itertuples(index=False):
-                ids = np.frombuffer(r.query_ids, np.int64)
-                yield find(r.index_bytes, ids, np.frombuffer(r.block, np.float64).reshape(len(ids), -1))
-
-    pairs = blocks.join(index.drop("shards").withColumnRenamed("index", "index_bytes"), ["dim", "shard"])
-    pairs = pairs.repartition("shard", "query_ids").select("query_ids", "block", "index_bytes")
-    found = pairs.mapInPandas(run, f"query_id long, vec_id long, score {schema}")
+                if r.kind == 0:
+                    current = load(r.payload)
+                else:
+                    ids = np.frombuffer(r.query_ids, np.int64)
+                    yield find(current, ids, np.frombuffer(r.payload, np.float64).reshape(len(ids), -1))
+
+    indexes = index.select("dim", "shard", F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("query_ids"), F.col("index").alias("payload"))
+    both = indexes.unionByName(blocks.select("dim", "shard", F.lit(1).alias("kind"), "query_ids", F.col("block").alias("payload")))
+    both = both.repartition("dim", "shard").sortWithinPartitions("dim", "shard", "kind")
+    found = both.select("kind", "query_ids", "payload").mapInPandas(run, f"query_id long, vec_id long, score {schema}")
     place = Window.partitionBy("query_id").orderBy(score, "vec_id")
     out = found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= top)
     return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -52,6 +52,12 @@ def test_links_edges(make):
     assert got == [(-1, 2), (5, 2), (5, 2), (6, 0), (7, 0)]
     kept = jaccard_join.dedup(make(rows[1:]).repartition(2)).collect()
     assert sorted(x.doc_id for x in kept) == [5, 6, 7]
+    long = "one two three four five six seven eight nine ten"
+    rows = [(3, "a b c d e f g"), (5, "a b c d e f g"), (5, long), (8, "x y z u v w"), (8, "x y, z u v w"), (9, ""), (9, "")]
+    docs = make(rows).selectExpr("*", "'mine' as k1", "1 as n", "true as once")
+    kept = jaccard_join.dedup(docs)
+    assert kept.columns == docs.columns and all(r.k1 == "mine" and r.n == 1 and r.once for r in kept.collect())
+    assert sorted((x.doc_id, x.text[:3]) for x in kept.collect() if x.doc_id != 8) == [(3, "a b"), (5, "one"), (9, ""), (9, "")] and kept.where("doc_id = 8").count() == 1
     assert jaccard_join.links(make(rows).limit(0)).count() == 0
 
 
@@ -65,7 +71,7 @@ def vectors(spark, n, seed):
 def test_top(spark):
     n = 400
     x, d = vectors(spark, n, 1)
-    got = topk_search.search_top(d, d.where("vec_id % 20 = 0 and vec_id < 400"), 7).collect()
+    got = topk_search.search_top(d, d.where("vec_id % 20 = 0 and vec_id < 400"), 7, shard=120).collect()  # several shards
     z = np.vstack([np.floor(64 * x), np.zeros((1, 16))])
     ids = np.append(np.arange(n), n + 2)
     for q in range(0, n, 20):
@@ -77,7 +83,7 @@ def test_top(spark):
 def test_neighbours(spark):
     n = 800
     x, d = vectors(spark, n, 2)
-    got = hnsw.neighbours(d, d.where("vec_id % 50 = 0"), 10).collect()
+    got = hnsw.neighbours(d, d.where("vec_id % 50 = 0"), 10, shard=300).collect()  # several shards
     hits = 0
     for q in range(0, n, 50):
         s = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
@@ -86,3 +92,28 @@ def test_neighbours(spark):
         assert len(mine) == 10 and all(abs(r.score - s[r.vec_id]) < 1e-12 for r in mine)
         hits += len({r.vec_id for r in mine} & set(order))
     assert hits >= 0.9 * 10 * (n // 50)
+
+
+def test_graph():
+    """A search computes far fewer distances than there are nodes; level 0 is every id's, above it few are."""
+    x = np.random.default_rng(3).standard_normal((3000, 8))
+    index = hnsw.Index(hnsw.build(np.arange(3000), x))
+    found = index.find(np.arange(0, 3000, 100), x[::100], 10)
+    hits = sum(len(set(found[found["query_id"] == q]["vec_id"]) & set(np.argsort(((x - x[q]) ** 2).sum(axis=1))[1:11].tolist())) for q in range(0, 3000, 100))
+    assert hits >= 0.95 * 300 and index.computed / 30 < 1000
+    level = hnsw._levels(np.arange(100_000))
+    assert level[0] < 4 and 0.05 < (level > 0).mean() < 0.08 and level.max() < 9
+
+
+def test_stop_on_proof():
+    """Where a few postings decide, a query stops before it has read all."""
+    r = np.random.default_rng(2)
+    x = np.zeros((4000, 16))
+    x[:, :14] = r.integers(-2, 3, (4000, 14))
+    x[np.arange(4000), r.integers(0, 16, 4000)] = r.integers(50, 4000, 4000)
+    index = topk_search.Index(topk_search.build(np.arange(4000), x))
+    got = index.find(np.arange(5), x[:5] / 64, 10)
+    assert index.read < 0.9 * index.all
+    for q in range(5):
+        s = x @ x[q]
+        assert got[got["query_id"] == q]["vec_id"].tolist() == [i for i in np.lexsort((np.arange(4000), -s)) if i != q][:10]

@@ -101,12 +101,35 @@ def test_mix(make):
     assert mixing.plan(docs.limit(0)).count() == 0
 
 
+def test_mix_schedule(make, monkeypatch):
+    """The schedule decides: every prefix of the written rows holds the sources near their weights, and another sequence gives
+    another order."""
+    rows = [(i, " ".join(["w"] * 8), None, s) for k, s in enumerate("abc") for i in range(1000 * k, 1000 * k + 400)]
+    docs = make(rows)
+    order = [r.source for r in mixing.mix(docs, block=16).collect()]
+    for end in range(100, len(order), 100):
+        share = Counter(order[:end])
+        assert all(abs(share[s] / end - order.count(s) / len(order)) < 0.03 for s in "abc")
+    slots = {r.doc_id: (r.slot0, r.slot1) for r in mixing.plan(mixing.sized(docs), block=16).collect()}
+    monkeypatch.setattr(mixing, "GOLDEN", 1)
+    other = {r.doc_id: (r.slot0, r.slot1) for r in mixing.plan(mixing.sized(docs), block=16).collect()}
+    assert slots.keys() == other.keys() and sum(slots[k] != other[k] for k in slots) > 1000
+
+
+def test_mix_rows_alike(make):
+    """Rows alike and null ids are rows apart."""
+    docs = make([(None, "one two three", None, "a")] * 3 + [(1, "four", None, "b")])
+    out = mixing.mix(docs, block=2).collect()
+    taken = Counter(r.text.strip() for r in out)
+    assert sum(len(r.text.split()) for r in out if r.source == "a") <= 18 and sum(len(r.text.split()) for r in out) == 15 and taken
+
+
 def test_mix_documents(make):
     docs = make([(1, "one two  three\nfour", "en", "a"), (2, None, "en", "b"), (3, "", None, None)])
     out = mixing.mix(docs, block=2)
     assert out.columns == docs.columns
     rows = out.collect()
-    assert sum(len(r.text.split()) for r in rows) == 6 and {r.doc_id for r in rows} == {1} and any(r.text == "one two  three\nfour" for r in rows)
+    assert sum(len(r.text.split()) for r in rows) == 6 and [r.doc_id for r in mixing.mix(docs.selectExpr("*", "7 as from0", "8 as k1", "9 as place"), block=2).where("from0 = 7 and k1 = 8 and place = 9").collect()] == [1, 1] and {r.doc_id for r in rows} == {1} and any(r.text == "one two  three\nfour" for r in rows)
 
 
 def test_shards(make):
@@ -116,6 +139,55 @@ def test_shards(make):
     assert len(got) == len(rows) and all(r.g in (r.shard, 8) for r in got) and any(r.g == 8 for r in got)
     for s in range(8):
         assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+    named = d.limit(5).selectExpr("*", "1 as start", "2 as cell", "3 as n")
+    assert [(r.start, r.cell, r.n) for r in sharding.shard(named, "doc_id", [1.0] * 2).collect()] == [(1, 2, 3)] * 5
+    nulls = make([(None, f"t{i}") for i in range(60)]).select("doc_id", F.crc32(F.col("text").cast("binary")).alias("c"))
+    assert len({r.shard for r in sharding.shard(nulls, "doc_id", [1.0] * 8, ["c"]).collect()}) == 1
     heavy = Counter(r.s for r in d.select(sharding.rendezvous(F.col("doc_id"), [1.0, 3.0]).alias("s")).collect())
     assert 0.6 < heavy[1] / len(rows) < 0.9 and zlib.crc32(b"") == next(r.c for r in got if r.doc_id is None)
     assert sharding.shard(d.limit(0), "doc_id", [1.0]).count() == 0
+
+
+def test_line_dedup_against_brute_force(make):
+    """Components of random lines with scattered edits, short and long, repeated within and between documents."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choices("abcdefghijklmnoprstuvw", k=r.randint(2, 9)))
+    rows, texts = [], []
+    for _ in range(60):
+        base = " ".join(word() for _ in range(r.choice([1, 2, 4, 8, 20, 60])))
+        for _ in range(r.randint(1, 4)):
+            t = list(base)
+            for _ in range(r.randint(0, max(1, len(t) // 40))):
+                t[r.randrange(len(t))] = r.choice("xyz ")
+            texts.append("".join(t))
+    texts += ["ha " * 15, "ha " * 60, "x" * 20, "x" * 200]
+    r.shuffle(texts)
+    rows = [(i, "\n".join(texts[i : i + 3])) for i in range(0, len(texts), 3)]
+    sets = {t: grams(t) for t in texts if len(t) >= 5}
+    links = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9}
+    root = {t: t for t in sets}
+
+    def top(t):
+        while root[t] != t:
+            t = root[t]
+        return t
+
+    for a, b in links:
+        root[top(a)] = top(b)
+    want, seen = {}, set()
+    for i, t in rows:
+        keep = []
+        for pos, line in enumerate(t.split("\n")):
+            if line not in sets or top(line) not in seen:
+                keep.append(pos)
+                if line in sets:
+                    seen.add(top(line))
+        want[i] = keep
+    got = {x.doc_id: x.kept for x in line_dedup.decisions(make(rows)).collect()}
+    assert len(links) > 30 and sum(got[i] == want[i] for i in want) >= 0.97 * len(want)
+
+
+def test_line_dedup_names(make):
+    docs = make([(1, BASE), (2, BASE)]).selectExpr("*", "1 as h", "2 as kept", "3 as th", "4 as places")
+    out = line_dedup.dedup(docs)
+    assert out.columns == docs.columns and [(r.doc_id, r.h, r.kept, r.th, r.places) for r in out.collect()] == [(1, 1, 2, 3, 4)]
