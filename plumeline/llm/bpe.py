@@ -15,7 +15,7 @@ from collections.abc import Iterable
 import numpy as np
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 300_000
 
 
 @functools.cache
@@ -91,7 +91,7 @@ def word_starts(points: np.ndarray, doc_starts: np.ndarray) -> np.ndarray:
 class WordTokenizer:
     """encode(texts) gives the ids of all texts in one array and the number of each text's ids."""
 
-    def __init__(self, path: str, most_words: int = 1 << 20):
+    def __init__(self, path: str, most_words: int = 1 << 18):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")

@@ -89,7 +89,7 @@ def _packer(vocabulary_path: str, length: int, most: int, end_id: int):
             if cutting < total:
                 for window, pieces in windows.place((doc, cutting, ids[cutting:].copy(), total), total - cutting):
                     put(window, pieces)
-            if len(out) > 20_000:
+            if len(out) > 5_000:
                 yield _rows(out)
                 out.clear()
         while windows.rooms:

@@ -288,7 +288,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 6, seed: int = 5,
 class Scorer:
     """Scores texts with a network; keeps the input gates of up to `most` distinct words."""
 
-    def __init__(self, net: Network, empty: float, most: int = 150_000):
+    def __init__(self, net: Network, empty: float, most: int = 100_000):
         self.net, self.empty, self.most = net, empty, most
         self.known: dict[str, int] = {}
         self.gates = np.zeros((2, most, 3 * HIDDEN), np.float32)
