@@ -153,12 +153,13 @@ def _co_trained(lean: DataFrame, known: DataFrame, labelled: int, rounds: int, e
     if not pair.known:
         return pair
     pair.fit()
-    pool = lean.join(known.select("doc_id"), "doc_id", "left_anti").withColumn("place", F.xxhash64("doc_id", "text"))
+    pool = lean.withColumn("place", F.xxhash64("doc_id", "text"))
     done: list[set[int]] = [set(), set()]
     for _ in range(rounds):
         models = pair.models
-        scored = _mapped(pool, lambda f, v, m=models: {"place": f["place"], "l0": apply(m[0], v[0]).astype(float), "l1": apply(m[1], v[1]).astype(float)}, "place long, l0 double, l1 double")
-        scored = cut(scored.dropDuplicates(["place"]), "quality-pool")
+        scored = _mapped(pool, lambda f, v, m=models: {"doc_id": f["doc_id"], "place": f["place"], "l0": apply(m[0], v[0]).astype(float), "l1": apply(m[1], v[1]).astype(float)}, "doc_id long, place long, l0 double, l1 double")
+        # scores, not texts, are told from those of labelled documents
+        scored = cut(scored.join(known.select("doc_id"), "doc_id", "left_anti").dropDuplicates(["place"]), "quality-pool")
         for k in (0, 1):
             logit, picks = F.col(f"l{k}"), []
             for label, most in ((1, round(each * pair.prior)), (0, round(each * (1 - pair.prior)))):
