@@ -14,7 +14,7 @@ from ..functions.words import level, stems_from_tokens, word_attributes
 from ..language import french
 from ..operators import assemble, echo, repetition, scope, tokens, weak
 from ..settings import Settings
-from ..sources.lexicon import Family, Lexicon, default_lexicon
+from ..sources.lexicon import LEAST_BEFORE, Family, Lexicon, compile_entries, default_lexicon
 from .analyze import analyze, marked_tokens
 
 S = Settings()
@@ -82,6 +82,16 @@ g4 as (select doc_id, idx, 4 as size, norm || ' ' || lead(norm) over w || ' ' ||
 g as (select doc_id, idx, size, phrase from (from g2 union all from g3 union all from g4) where last is not null and m < 2 and f >= 2)
 """
 )
+_WALK = (
+    _GRAMS
+    + """,
+o as (select *, row_number() over (partition by doc_id, size, phrase order by idx) as r, count(*) over (partition by doc_id, size, phrase) as c from g),
+walk as (select doc_id, size, phrase, r, idx, idx as kept, cast(null as integer) as other from o where r = 1 and c > 1
+  union all select o.doc_id, o.size, o.phrase, o.r, o.idx, case when o.idx - walk.kept >= o.size then o.idx else walk.kept end, case when o.idx - walk.kept >= o.size then walk.kept end
+  from walk join o on o.doc_id = walk.doc_id and o.size = walk.size and o.phrase = walk.phrase and o.r = walk.r + 1),
+pairs as (select doc_id, size, phrase, idx, other, idx - other as distance from walk where other is not null and idx - other <= 80)
+"""
+)
 _VERBS = ", ".join(f"('{f}', '{lemma}')" for f, lemma in sorted(french.verb_table().items()))
 
 
@@ -274,6 +284,29 @@ hc as (select *, cast(count(*) over (partition by doc_id, paragraph, rank) as in
 """
 )
 
+
+def _lexicon_sql(lexicon: Lexicon) -> str:
+    """Entries, forms and endings of a lexicon as tables, and its hits: candidates at each word, taken from the left."""
+    entries = compile_entries(lexicon)
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    places = [(n, k, x) for n, e in enumerate(entries) for k, x in enumerate(e.elements)]
+    forms = ", ".join(f"({n}, {k}, {quoted(f)})" for n, k, x in places for f in sorted(x.forms))
+    endings = ", ".join(f"({n}, {k}, {quoted(x.ending)}, [{', '.join(quoted(w) for w in sorted(x.exceptions))}]::varchar[])" for n, k, x in places if x.ending)
+    entry = ", ".join(f"({n}, {e.rank}, {len(e.elements)}, {not e.pattern})" for n, e in enumerate(entries))
+    limits = ", ".join(f"({k}, {S.weak_threshold if f.threshold is None else f.threshold})" for k, f in enumerate(lexicon.families))
+    return f""",
+entry(n, rank, words, exact) as (values {entry}), forms(n, place, form) as (values {forms}), endings(n, place, ending, barred) as (values {endings}), limits(rank, l) as (values {limits}),
+fit as (select doc_id, segment, paragraph, idx, n, place from tok join forms on norm = form
+  union select doc_id, segment, paragraph, idx, n, place from tok join endings on ends_with(norm, ending) and length(norm) >= length(ending) + {LEAST_BEFORE} and not list_contains(barred, norm)),
+matched as (select doc_id, segment, cast(idx - place as integer) as idx, n, min(paragraph) filter (place = 0) as paragraph, count(*) as c from fit group by doc_id, segment, idx - place, n),
+scored as (select doc_id, segment, paragraph, idx, rank, words, row_number() over (partition by doc_id, idx order by words desc, exact desc, rank) as r from matched join entry using (n) where c = words),
+cand as (select doc_id, segment, paragraph, idx, rank, words, row_number() over (partition by doc_id, segment order by idx) as r from scored where r = 1),
+taken as (select *, idx + words as over, true as kept from cand where r = 1
+  union all select c.*, case when c.idx >= t.over then c.idx + c.words else t.over end, c.idx >= t.over from taken t join cand c on c.doc_id = t.doc_id and c.segment = t.segment and c.r = t.r + 1),
+shown as (select doc_id, idx, words, rank, cast(count(*) over (partition by doc_id, paragraph, rank) as integer) as n from taken where kept)
+"""
+
+
 ORACLES = {
     "tokens": _t("select doc_id, idx, begin, stop, surface, norm from tok", _TOKENS),
     "segments": _t("select doc_id, segment, min(idx) as first_idx, max(idx) as last_idx, count(*) as n_words from tok group by all", _TOKENS),
@@ -293,13 +326,16 @@ select doc_id, idx, head || place || '.' as explanation, cast(length(head) as in
         _SAME,
     ),
     "ngram_counts": _t("select doc_id, size, phrase, count(*) as n from g group by all having count(*) > 1", _GRAMS),
-    "phrase_repetitions": _t(
-        """, o as (select *, row_number() over (partition by doc_id, size, phrase order by idx) as r, count(*) over (partition by doc_id, size, phrase) as c from g),
-walk as (select doc_id, size, phrase, r, idx, idx as kept, cast(null as integer) as other from o where r = 1 and c > 1
-  union all select o.doc_id, o.size, o.phrase, o.r, o.idx, case when o.idx - walk.kept >= o.size then o.idx else walk.kept end, case when o.idx - walk.kept >= o.size then walk.kept end
-  from walk join o on o.doc_id = walk.doc_id and o.size = walk.size and o.phrase = walk.phrase and o.r = walk.r + 1)
-select doc_id, size, phrase, idx, other, idx - other as distance from walk where other is not null and idx - other <= 80""",
-        _GRAMS,
+    "phrase_repetitions": _t("select doc_id, size, phrase, idx, other, distance from pairs", _WALK),
+    "phrase_ranges": _t(
+        f""", e as (select doc_id, size, phrase, idx as event, least(3, {_level("distance")} + (size >= 3)::int) as level, idx as start, other from pairs
+  union all select doc_id, size, phrase, idx, least(3, {_level("distance")} + (size >= 3)::int), other, idx from pairs),
+under as (select *, unnest(range(start, start + size)) as place from e),
+best as (select *, row_number() over (partition by doc_id, place order by level desc, size, event, start desc, other desc, phrase desc) as r from under),
+runs as (select k.doc_id, segment, idx, level, phrase, idx - row_number() over (partition by k.doc_id, segment order by idx) as island from best join k on best.doc_id = k.doc_id and place = idx where r = 1)
+select doc_id, cast(min(idx) as integer) as first, cast(max(idx) as integer) as last, arg_max(phrase, cast(level as bigint) * 1000000000 - idx) as family, cast(max(level) as integer) as intensity
+from runs group by doc_id, segment, island""",
+        _WALK,
     ),
     "verb_lemmas": _t(f", v(norm, lemma) as (values {_VERBS}) select tok.norm, v.lemma, count(*) as n from tok join v on tok.norm = v.norm group by all", _TOKENS),
     "rare_echoes": _t(
@@ -315,6 +351,14 @@ where (a is not null or b is not null) and not exists (select 1 from lev where l
         "select doc_id, idx, rank, n as count, case when n >= 2 * l then 3 when n > l then 2 else 1 end as intensity from (select *, case rank when 0 then 2 else 3 end as l from hc) where n >= l",
         _WEAK,
     ),
+    "weak_default": _t(
+        "select doc_id, idx, cast(words as integer) as size, rank, n as count, case when n >= 2 * l then 3 when n > l then 2 else 1 end as intensity from shown join limits using (rank) where n >= l",
+        _TOKENS + _lexicon_sql(default_lexicon()),
+    ),
+    "conversations": _t(
+        "select doc_id.conv_id as conv_id, doc_id.turn as turn, count(*) as n from same group by all",
+        "documents as (select {'conv_id': conv_id, 'turn': turn} as doc_id, text from conversations),\n" + _SAME.strip(),
+    ),
     "scope_filter": """with p as (select page_id, regexp_replace(url, '^https?://[^/]*/', '') as path from pages)
 select page_id, path, case when starts_with(lower(path), 'en/8/') then 'folder' when starts_with(lower(path), 'en/') or starts_with(lower(path), 'fr/') then 'none' else 'folder' end as exclusion from p""",
     "doc_metrics": _t(
