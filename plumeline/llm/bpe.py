@@ -16,6 +16,8 @@ import numpy as np
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 BATCH_CHARS = 300_000
+#: Characters of all words of a table, beyond which it is thinned.
+MOST_SIGNS = 1 << 24
 
 
 @functools.cache
@@ -88,30 +90,57 @@ def word_starts(points: np.ndarray, doc_starts: np.ndarray) -> np.ndarray:
     return start
 
 
+def _places(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... of each of some runs, count places of each, all in a row."""
+    ends = np.cumsum(count)
+    return np.repeat(begin - (ends - count), count) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 class WordTokenizer:
     """encode(texts) gives the ids of all texts in one array and the number of each text's ids."""
 
-    def __init__(self, path: str, most_words: int = 1 << 18):
+    def __init__(self, path: str, most_words: int = 1 << 19):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.lib = Tokenizer.from_file(path)
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
+        vocab = self.lib.get_vocab(with_added_tokens=True)
+        self.bytes = np.zeros(max(vocab.values()) + 1, np.int64)  # a sign of a byte-level token is a byte
+        self.bytes[list(vocab.values())] = [len(x) for x in vocab]
         self.values = _mix(np.arange(1, 0x110001, dtype=np.uint64))
         self.most = most_words
         self._clear()
 
     def _clear(self) -> None:
-        """An empty table; it is cleared when full, so that memory stays bounded."""
+        """An empty table; a full one is thinned, so that memory stays bounded."""
         self.bits = (2 * self.most - 1).bit_length()
         self.keys = np.zeros(1 << self.bits, np.uint64)
-        self.begin = np.zeros(1 << self.bits, np.int64)
+        self.begin = np.zeros(1 << self.bits, np.int32)
         self.count = np.zeros(1 << self.bits, np.int32)
         self.pool = np.zeros(1 << 16, np.uint32)
         self.spelt = np.zeros(1 << 16, np.uint32)  # the words themselves, to tell words of one key apart
-        self.spelling = np.zeros(1 << self.bits, np.int64)
+        self.spelling = np.zeros(1 << self.bits, np.int32)
+        self.met = np.zeros(1 << self.bits, bool)  # words met again since they were learned or the table was thinned
         self.used = self.words = self.signs = 0
 
+    def _full(self, words: int, signs: int) -> bool:
+        return self.words + words > self.most or self.signs + signs > MOST_SIGNS
+
+    def _thin(self) -> None:
+        """The table with the words alone that were met again; an empty one if they are more than half of what it may hold."""
+        known = np.flatnonzero(self.keys)
+        known = known[np.argsort(self.spelling[known])]  # the order in which they were learned
+        length = np.diff(self.spelling[known], append=self.signs)
+        stay = self.met[known]
+        if 2 * int(stay.sum()) > self.most:
+            return self._clear()
+        known, length = known[stay], length[stay]
+        keys, begin, count, spelling = self.keys[known], self.begin[known], self.count[known].astype(np.int64), self.spelling[known]
+        ids, signs = self.pool[_places(begin, count)], self.spelt[_places(spelling, length)]
+        self._clear()
+        self._enter(keys, ids, count, signs, length)
+
     def _probe(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Slot of each key, and whether it is there; else an empty slot."""
         mask = (1 << self.bits) - 1
@@ -126,23 +155,38 @@ class WordTokenizer:
             todo = todo[(found != 0) & (found != keys[todo])]
         return slot, hit
 
+    def _ids(self, words: list[str], signs: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words in a row and how many each has.  The library's fast way doesn't say whose an id is; the bytes
+        that ids stand for do, if they are as many as the words have."""
+        ids = np.array(self.lib.encode_batch_fast([words], is_pretokenized=True, add_special_tokens=False)[0].ids, np.uint32)
+        wide = np.cumsum(1 + (signs >= 0x80) + (signs >= 0x800).astype(np.int64) + (signs >= 0x10000))[ends - 1]
+        reach = np.cumsum(self.bytes[ids])
+        last = np.searchsorted(reach, wide)
+        if len(ids) and reach[-1] == wide[-1] and (reach[last] == wide).all():
+            return ids, np.diff(last, prepend=-1)
+        plain = self.lib.encode(words, is_pretokenized=True, add_special_tokens=False)
+        ids = np.array(plain.ids, np.uint32)
+        return ids, np.bincount(np.array(plain.word_ids, np.int64), minlength=len(words)) if len(ids) else np.zeros(len(words), np.int64)
+
     def _learn(self, keys: np.ndarray, words: list[str]) -> None:
-        encoded = self.lib.encode(words, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(encoded.ids, np.uint32)
-        count = np.bincount(np.array(encoded.word_ids, np.int64), minlength=len(words)) if len(ids) else np.zeros(len(words), np.int64)
+        signs = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        length = np.array([len(w) for w in words], np.int64)
+        ids, count = self._ids(words, signs, np.cumsum(length))
+        self._enter(keys, ids, count, signs, length)
+
+    def _enter(self, keys: np.ndarray, ids: np.ndarray, count: np.ndarray, signs: np.ndarray, length: np.ndarray) -> None:
+        """Puts words that the table doesn't hold into it."""
         while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.uint32)])
         self.pool[self.used : self.used + len(ids)] = ids
         begin = self.used + np.cumsum(count) - count
         self.used += len(ids)
-        signs = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
-        length = np.array([len(w) for w in words], np.int64)
         while self.signs + len(signs) > len(self.spelt):
             self.spelt = np.concatenate([self.spelt, np.zeros(len(self.spelt), np.uint32)])
         self.spelt[self.signs : self.signs + len(signs)] = signs
         spelling = self.signs + np.cumsum(length) - length
         self.signs += len(signs)
-        self.words += len(words)
+        self.words += len(keys)
         left = np.arange(len(keys))
         while len(left):
             slot, _ = self._probe(keys[left])
@@ -167,19 +211,23 @@ class WordTokenizer:
         np.cumsum(self.values[points] * power[:n], out=sums[1:])
         keys = _mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64)) | np.uint64(1)
         slot, hit = self._probe(keys)
+        self.met[slot[hit]] = True
         if not hit.all():
             new, at = np.unique(keys[~hit], return_index=True)
             at = np.flatnonzero(~hit)[at]
-            if self.words + len(new) > self.most:
+            if self._full(len(new), n):
                 if len(new) > self.most and len(texts) > 1:
                     half = len(texts) // 2
                     (a, b), (c, d) = self._batch(texts[:half]), self._batch(texts[half:])
                     return np.concatenate([a, c]), np.concatenate([b, d])
-                self.most = max(self.most, len(new))
-                self._clear()
-                new, at = np.unique(keys, return_index=True)
-                self.most = max(self.most, len(new))
-                self._clear()
+                self._thin()
+                slot, hit = self._probe(keys)
+                new, at = np.unique(keys[~hit], return_index=True)
+                at = np.flatnonzero(~hit)[at]
+                if self._full(len(new), n):
+                    new, at = np.unique(keys, return_index=True)
+                    self.most = max(self.most, len(new))
+                    self._clear()
             self._learn(new, [joined[a:b] for a, b in zip(s[at].tolist(), e[at].tolist(), strict=True)])
             slot, _ = self._probe(keys)
         same = self.spelt[np.repeat(self.spelling[slot] - s, e - s) + np.arange(n)] == points

@@ -4,10 +4,11 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from plumeline.llm import packing, quality, simple8b, toxicity
+from plumeline.llm import bpe, packing, quality, simple8b, toxicity
 from plumeline.llm.bpe import tokenizer, vocabulary
 
 TEXTS = [None, "", "a", "Don't  stop\n\n now's 12 half ½", "naïve café 日本語 🙂", "<|endoftext|> as text", "word " * 3000, "x" * 5000, "a", "a"]
@@ -23,6 +24,18 @@ def test_ids(texts):
     assert [x.tolist() for x in tokenizer(vocabulary()).each(texts)] == [ids_of(t) for t in texts]
 
 
+@pytest.mark.parametrize("most_signs", [1 << 24, 400])
+def test_ids_of_small_tables(monkeypatch, most_signs):
+    """A table of few words or characters is thinned all the time; ids stay the library's."""
+    monkeypatch.setattr(bpe, "MOST_SIGNS", most_signs)
+    tok, rng = bpe.WordTokenizer(vocabulary(), most_words=64), random.Random(5)
+    for k in range(60):
+        texts = ["".join(rng.choice(" '\n\tab1é中😀.srevl~Ω") for _ in range(rng.choice((0, 1, 5, 40, 300)))) for _ in range(rng.randint(1, 12))]
+        texts += ["x" * 5000 + "é" * 3000] * (k % 20 == 0)
+        for text, ids in zip(texts, tok.each(texts), strict=True):
+            assert ids.tolist() == tok.lib.encode(text, add_special_tokens=False).ids
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 3), st.integers(0, 50256), st.integers(0, 2**64 - 1)), max_size=300), st.integers(1, 40))
 def test_codec(ids, times):
