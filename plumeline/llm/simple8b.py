@@ -28,63 +28,65 @@ MAGIC = b"S8B1"
 
 def _bits(ids: np.ndarray) -> np.ndarray:
     """Number of significant bits of each id."""
-    out = np.zeros(len(ids), np.uint8)
-    rest = ids.astype(np.uint64)
-    for step in (32, 16, 8, 4, 2, 1):
-        big = rest >= np.uint64(1) << np.uint64(step)
-        out[big] += step
-        rest = np.where(big, rest >> np.uint64(step), rest)
-    return out + (rest > 0).astype(np.uint8)
-
-
-def _greedy(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where the words of a block start, and their selectors: each word takes as many ids as fit."""
-    n = len(ids)
-    most = np.concatenate([_bits(ids), np.zeros(64, np.uint8)])  # zeros beyond the end cost nothing
-    best = np.zeros(n, np.uint8)
-    reach: dict[int, np.ndarray] = {}
-    size, window = 1, most
+    if ids.max(initial=0) < 1 << 53:  # exact as a float
+        return np.frexp(ids.astype(np.float64))[1].astype(np.uint8)
+    high, low = ids >> np.uint64(32), ids & np.uint64(0xFFFFFFFF)
+    return np.where(high > 0, 32 + _bits(high), _bits(low)).astype(np.uint8)
+
+
+def _greedy(blocks: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of all blocks (rows, with zeros behind their ids) start in the flat array, and their selectors: each
+    word takes as many ids as fit.  The blocks are walked abreast."""
+    n = blocks.shape[1] - 64
+    best = np.zeros((len(blocks), n), np.uint8)
+    size, window = 1, _bits(blocks)  # zeros beyond the end cost nothing
     for s in range(LAST, 0, -1):
         while size < COUNTS[s]:
             step = min(size, int(COUNTS[s]) - size)
-            window = np.maximum(window[: len(window) - step], window[step:])
+            window = np.maximum(window[:, : window.shape[1] - step], window[:, step:])
             size += step
-        reach[s] = window[:n] <= WIDTHS[s]
-        best[reach[s]] = s
-    takes = COUNTS[best].tolist()
-    at, i = [], 0
-    while i < n:
-        at.append(i)
-        i += takes[i]
-    starts = np.array(at, np.int64)
-    return starts, best[starts]
+        best[window[:, :n] <= WIDTHS[s]] = s
+    flat, takes = best.ravel(), COUNTS[best.ravel()]
+    start = np.zeros(len(flat), bool)
+    at = np.arange(len(blocks)) * n
+    end = at + lengths
+    while len(at):
+        start[at] = True
+        at = at + takes[at]
+        on = at < end
+        if not on.all():
+            at, end = at[on], end[on]
+    found = np.flatnonzero(start)
+    return found + found // n * 64, flat[found]
 
 
 def encode(ids: np.ndarray) -> bytes:
     """One payload: magic, block size, ids, words; each block's first word; the words (all little-endian)."""
     ids = np.ascontiguousarray(ids, np.uint64)
-    words, firsts, total = [], [], 0
-    for b in range(0, len(ids), BLOCK):
-        part = ids[b : b + BLOCK]
-        starts, selectors = _greedy(part)
-        padded = np.concatenate([part, np.zeros(64, np.uint64)])
-        raw = selectors == ESCAPE
-        place = np.arange(len(starts)) + np.cumsum(raw) - raw
-        out = np.zeros(len(starts) + int(raw.sum()), np.uint64)
-        out[place[raw] + 1] = padded[starts[raw]]
-        for s in np.unique(selectors):
-            if s == ESCAPE:
-                continue
-            mine = np.flatnonzero(selectors == s)
-            word = np.full(len(mine), np.uint64(s) << np.uint64(60), np.uint64)
-            for k in range(int(COUNTS[s])):
-                word |= padded[starts[mine] + k] << np.uint64(k * int(WIDTHS[s]))
-            out[place[mine]] = word
-        firsts.append(total)
-        total += len(out)
-        words.append(out)
-    head = MAGIC + struct.pack("<IQQ", BLOCK, len(ids), total)
-    return head + np.array(firsts, "<u8").tobytes() + b"".join(w.astype("<u8").tobytes() for w in words)
+    count = -(-len(ids) // BLOCK)
+    blocks = np.zeros((count, BLOCK + 64), np.uint64)
+    whole = len(ids) // BLOCK
+    blocks[:whole, :BLOCK] = ids[: whole * BLOCK].reshape(whole, BLOCK)
+    lengths = np.full(count, BLOCK, np.int64)
+    if whole < count:
+        lengths[-1] = len(ids) - whole * BLOCK
+        blocks[-1, : lengths[-1]] = ids[whole * BLOCK :]
+    starts, selectors = _greedy(blocks, lengths)
+    flat = blocks.ravel()
+    raw = selectors == ESCAPE
+    place = np.arange(len(starts)) + np.cumsum(raw) - raw
+    words = np.zeros(len(starts) + int(raw.sum()), "<u8")
+    words[place[raw] + 1] = flat[starts[raw]]
+    for s in np.unique(selectors):
+        if s == ESCAPE:
+            continue
+        mine = np.flatnonzero(selectors == s)
+        word = np.full(len(mine), np.uint64(s) << np.uint64(60), np.uint64)
+        for k in range(int(COUNTS[s])):
+            word |= flat[starts[mine] + k] << np.uint64(k * int(WIDTHS[s]))
+        words[place[mine]] = word
+    firsts = place[np.searchsorted(starts, np.arange(count) * (BLOCK + 64))].astype("<u8")
+    return MAGIC + struct.pack("<IQQ", BLOCK, len(ids), len(words)) + firsts.tobytes() + words.tobytes()
 
 
 def decode(payload: bytes, first_block: int = 0, blocks: int | None = None) -> np.ndarray:
