@@ -7,11 +7,14 @@ line that repeats itself may leave few bins filled; it is done again without the
 widths.
 Bands.  Two filled bins that follow each other make a band key.  Lines that share a key are candidates, unless their
 signatures have less than AGREE of their values in common.
-Verification.  The exact Jaccard similarity of the two sets of pieces of GRAM characters, counted per pair.  Union-find over
-the verified pairs, distributed, gives the components.
+Sketches.  A line that may have a partner gets the parities of its pieces of GRAM characters in 64 * WORDS bits.  Sketches
+differ in no more bits than the sets have members in one alone, so what they rule out is ruled out exactly.
+Verification.  The exact Jaccard similarity of the two sets of pieces of GRAM characters, counted per pair that sketches leave.
+Union-find over the verified pairs, distributed, gives the components.
 Buckets.  Each member of a bucket is compared with its NEAR successors in the bucket's order (of chunks of about CHUNK lines)
-and with the first, which is all pairs of a small bucket; then, in larger ones, with all members that this left in another
-component, in blocks of about BLOCK lines of which only candidates come out.  Pairs inside a component would change nothing.
+and with the first, which is all pairs of a small bucket: each line's likeliest partner first, then those that this left in
+another component.  In larger buckets all members that are in different components by then are compared by their sketches,
+in blocks of about BLOCK lines, and verified.  Pairs inside a component would change nothing.
 
 Two lines of similarity 0.8 whose sets of shingles agree by 0.67 (scattered edits touch more shingles than grams) are no
 candidates with a probability of about 0.008, at 0.75 of 0.0016, at 0.82 of 0.0002 (simulated, 300 shingles).  Lines are known by a 64-bit hash: among
@@ -37,6 +40,8 @@ MANY = 120
 BROADCAST_LINES = 1_000_000
 THRESHOLD = 0.8
 VALUE_BITS = 27
+#: Sketches of grams have 64 * WORDS bits.
+WORDS = 16
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -99,7 +104,7 @@ def band_keys(signed: DataFrame) -> DataFrame:
 
 def _agree(a: str, b: str) -> Column:
     """Whether two signatures have enough of their values in common."""
-    return _once(F.size(F.array_intersect(a, b)), lambda k: k >= F.lit(AGREE) * (F.size(a) + F.size(b) - k))
+    return F.size(F.array_intersect(a, b)) * (1 + AGREE) >= F.lit(AGREE) * (F.size(a) + F.size(b)) - F.lit(1e-9)
 
 
 def _ordered(a: str, b: str) -> list[Column]:
@@ -107,43 +112,107 @@ def _ordered(a: str, b: str) -> list[Column]:
 
 
 def verified_pairs(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """u, v: hashes of two different lines of docs whose similarity reaches the threshold.  Of the pairs that share a band,
-    those are left out that others connect."""
+    """u, v: hashes of two different lines of docs that links of at least the threshold connect; of pairs that share a band,
+    enough to connect all that are linked."""
     signed = signatures(docs)
     size = F.count("*").over(Window.partitionBy("key"))
     members = cut(band_keys(signed).withColumn("size", size).where("size > 1").withColumn("kind", F.expr("cast(key & 1 as int)")), "line-members")
-    shared = cut(members.join(signed.drop("n"), ["h", "kind"]), "line-buckets")
-    drop_cut(members, signed)
-    members = shared
+    shared = members.join(signed.drop("n"), ["h", "kind"])
 
     # a large bucket's order is laid out in chunks, so that no task sorts all of it
     order = Window.partitionBy("key", F.pmod(F.xxhash64("h"), F.ceil(F.col("size") / CHUNK))).orderBy(F.xxhash64("h", "key"))
     mine = F.struct("h", "sig")
     partners = [F.lead(mine, k).over(order) for k in range(1, NEAR + 1)]
-    near = members.select("h", "sig", F.array(*partners, F.first(mine).over(order)).alias("o")).select("h", "sig", F.explode("o").alias("o")).where("h <> o.h")
+    near = shared.select("h", "sig", F.array(*partners, F.first(mine).over(order)).alias("o")).select("h", "sig", F.explode("o").alias("o")).where("h <> o.h")
     near = near.where(_agree("sig", "o.sig")).select("h", F.col("o.h").alias("g"))
     near = cut(near.select(*_ordered("h", "g")).distinct(), "line-near")
-    found = lines(docs).select("h", "line")
-    close = cut(_close(near, found, threshold), "line-close")
-    group = components(close, "line-close-components")
-    far = cut(_apart(members, group).join(near, ["u", "v"], "left_anti"), "line-far")
-    drop_cut(members, near, group)
-    more = cut(_close(far, found, threshold), "line-far-close")
-    drop_cut(far)
-    return close.unionByName(more)
-
-
-def _apart(members: DataFrame, group: DataFrame) -> DataFrame:
-    """u, v: candidates of a bucket of more than NEAR + 1 lines that are in different components of group."""
-    large = members.where(F.col("size") > NEAR + 1).join(group.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
+    drop_cut(signed)
+
+    wanted = near.select(F.explode(F.array("u", "v")).alias("h")).union(members.where(_large()).select("h")).distinct()
+    wanted = cut(wanted, "line-wanted")
+    texts = cut(_texts(lines(docs).select("h", "line"), wanted), "line-texts")
+    sketches = cut(_sketched(texts), "line-sketches")
+    drop_cut(wanted)
+    possible = cut(_possible(near, sketches, threshold), "line-possible")
+    drop_cut(near)
+
+    # each line's likeliest partner first; then what that left in different components
+    each = possible.select(F.explode(F.array("u", "v")).alias("h"), F.struct("unlike", "u", "v", "m", "n").alias("pair"))
+    best = cut(each.groupBy("h").agg(F.min("pair").alias("pair")).select("pair.*").distinct(), "line-best")
+    group = components(cut(_close(best, texts, threshold), "line-close"), "line-close-components")
+    rest = cut(_across(possible.join(best, ["u", "v"], "left_anti"), group), "line-rest")
+    more = cut(_close(rest, texts, threshold), "line-rest-close")
+    drop_cut(best, rest)
+    group = components(_edges(group).unionByName(more), "line-near-components")
+    far = cut(_apart(members, group, sketches, threshold).join(possible, ["u", "v"], "left_anti"), "line-far")
+    drop_cut(members, possible, sketches)
+    more = cut(_close(far, texts, threshold), "line-far-close")
+    drop_cut(far, texts)
+    return _edges(group).unionByName(more)
+
+
+def _large() -> Column:
+    """Whether a bucket has more members than the near ones of each."""
+    return F.col("size") > NEAR + 1
+
+
+def _edges(group: DataFrame) -> DataFrame:
+    return group.select(F.col("node").alias("u"), F.col("root").alias("v"))
+
+
+def _sketched(texts: DataFrame) -> DataFrame:
+    """h, n and s0, s1, ...: the number of a line's different grams and its sketch, of 64 * WORDS bits: each is the parity of
+    the grams that fall on it.  Two sketches differ in no more bits than the sets have members that only one of them has."""
+    at = texts.repartition("h").select("h", F.explode(grams(F.col("line"))).alias("x"))  # no other exchange
+    at = at.select("h", F.expr(f"cast(shiftrightunsigned(x, 6) % {WORDS} as int)").alias("k"), F.expr("shiftleft(1L, cast(x & 63 as int))").alias("bit"))
+    parts = at.groupBy("h", "k").agg(F.bit_xor("bit").alias("s"), F.count("*").alias("n"))
+    words = [F.coalesce(F.max(F.when(F.col("k") == k, F.col("s"))), F.lit(0).cast("long")).alias(f"s{k}") for k in range(WORDS)]
+    return parts.groupBy("h").agg(F.sum("n").cast("int").alias("n"), *words)
+
+
+def _side(h: str, n: str, s: str) -> list[Column]:
+    """The columns of a table of sketches under other names."""
+    return [F.col("h").alias(h), F.col("n").alias(n), *[F.col(f"s{k}").alias(f"{s}{k}") for k in range(WORDS)]]
+
+
+def _unlike(a: str, b: str) -> Column:
+    """Bits in which two sketches differ."""
+    return F.expr(" + ".join(f"bit_count({a}{k} ^ {b}{k})" for k in range(WORDS)))
+
+
+def _reachable(m: str, n: str, unlike: Column, threshold: float) -> Column:
+    """Whether sets of m and n members, of which at least `unlike` are in one alone, can reach the threshold; proved if not."""
+    t = F.lit(threshold)
+    return (F.least(m, n) >= t * F.greatest(m, n) - F.lit(1e-9)) & (unlike * (1 + t) <= (1 - t) * (F.col(m) + F.col(n)) + F.lit(1e-6))
+
+
+def _possible(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
+    """u, v, m, n, unlike of the pairs that their sketches leave: m, n: numbers of grams; unlike: bits that differ, by m + n."""
+    both = pairs.join(sketches.select(*_side("u", "m", "p")), "u").join(sketches.select(*_side("v", "n", "q")), "v")
+    both = both.where(_reachable("m", "n", _unlike("p", "q"), threshold))
+    return both.select("u", "v", "m", "n", (_unlike("p", "q") / (F.col("m") + F.col("n"))).alias("unlike"))
+
+
+def _across(pairs: DataFrame, group: DataFrame) -> DataFrame:
+    """The pairs that are in different components of group."""
+    of = lambda h, r: group.select(F.col("node").alias(h), F.col("root").alias(r))
+    return pairs.join(of("u", "r"), "u", "left").join(of("v", "s"), "v", "left").where("coalesce(r, u) <> coalesce(s, v)").drop("r", "s")
+
+
+def _apart(members: DataFrame, group: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
+    """u, v, m, n: pairs of a bucket of more than NEAR + 1 lines that are in different components of group and that their
+    sketches leave."""
+    large = members.where(_large()).join(group.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
     large = cut(large, "line-large")
     mixed = large.groupBy("key").agg(F.min("root").alias("lowest"), F.max("root").alias("highest")).where("lowest <> highest")
-    large = cut(large.join(mixed.select("key"), "key"), "line-mixed").withColumn("chunks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    large = large.withColumn("x", F.pmod(F.xxhash64("h"), F.col("chunks")).cast("int")).withColumn("y", F.explode(F.expr("sequence(0, chunks - 1)")))
+    large = large.join(mixed.select("key"), "key").join(sketches, "h").withColumn("chunks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    large = cut(large, "line-mixed").withColumn("x", F.pmod(F.xxhash64("h"), F.col("chunks")).cast("int")).withColumn("y", F.explode(F.expr("sequence(0, chunks - 1)")))
     large = large.withColumns({"bi": F.least("x", "y"), "bj": F.greatest("x", "y")})
-    half = lambda at, *names: large.where(f"x = {at}").select("key", "bi", "bj", *[F.col(c).alias(n) for c, n in zip(("h", "root", "sig"), names, strict=True)])
-    both = half("bi", "a", "r", "p").join(half("bj", "b", "s", "q"), ["key", "bi", "bj"]).where("r <> s and (bi < bj or a < b)").where(_agree("p", "q"))
-    return both.select(*_ordered("a", "b")).distinct()
+    half = lambda at, h, root, n, s: large.where(f"x = {at}").select("key", "bi", "bj", F.col("root").alias(root), *_side(h, n, s))
+    both = half("bi", "a", "r", "m", "p").join(half("bj", "b", "s", "n", "q"), ["key", "bi", "bj"])
+    both = both.where("r <> s and (bi < bj or a < b)").where(_reachable("m", "n", _unlike("p", "q"), threshold))
+    sized = F.when(F.col("a") < F.col("b"), F.struct(F.col("a").alias("u"), F.col("b").alias("v"), "m", "n")).otherwise(F.struct(F.col("b").alias("u"), F.col("a").alias("v"), F.col("n").alias("m"), F.col("m").alias("n")))
+    return both.select(sized.alias("pair")).select("pair.*").distinct()
 
 
 def grams(line: Column) -> Column:
@@ -157,17 +226,12 @@ def _once(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _close(pairs: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a written table) whose exact similarity reaches the threshold.  Numbers of grams go first: sets of m < n
-    members can't reach it if m < threshold * n."""
-    some = cut(pairs.select(F.explode(F.array("u", "v")).alias("h")).distinct(), "line-wanted")
-    texts = cut(_texts(found, some).withColumn("n", F.size(grams(F.col("line")))), "line-texts")
-    count = lambda h, n: texts.select(F.col("h").alias(h), F.col("n").alias(n))
+def _close(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """u, v of the pairs (a written table with m, n, the numbers of grams) whose exact similarity reaches the threshold."""
     side = lambda h, line: texts.select(F.col("h").alias(h), F.col("line").alias(line))
-    sized = pairs.join(count("u", "m"), "u").join(count("v", "n"), "v").where(F.least("m", "n") >= F.lit(threshold) * F.greatest("m", "n") - F.lit(1e-9))
-    both = cut(sized, "line-sized").join(side("u", "a"), "u").join(side("v", "b"), "v")
-    reach = lambda k: k >= F.lit(threshold) * (F.col("m") + F.col("n") - k) - F.lit(1e-9)
-    return both.where(_once(F.size(F.array_intersect(grams(F.col("a")), grams(F.col("b")))), reach)).select("u", "v")
+    both = pairs.select("u", "v", "m", "n").join(side("u", "a"), "u").join(side("v", "b"), "v")
+    same = F.size(F.array_intersect(grams(F.col("a")), grams(F.col("b"))))  # of m + n - same in all
+    return both.where(same * (1 + threshold) >= F.lit(threshold) * (F.col("m") + F.col("n")) - F.lit(1e-9)).select("u", "v")
 
 
 def kept_positions(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

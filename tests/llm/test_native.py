@@ -75,6 +75,34 @@ def test_line_dedup_compares_all_of_a_bucket(make, monkeypatch):
     assert got == {i: [0] if i % 2 == 0 else [] for i in range(80)}
 
 
+def test_line_dedup_pairs_of_a_family(make, monkeypatch):
+    """Of lines with one origin that are not alike enough hardly a pair is left to verify, and sketches differ in no more bits
+    than the sets have members apart."""
+    counts, cut = {}, line_dedup.cut
+
+    def counting(df, name):
+        out = cut(df, name)
+        counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup, "cut", counting)
+    r = random.Random(6)
+    word = lambda: "".join(r.choices("abcdefghijklmnop", k=7))
+    base = [word() for _ in range(60)]
+    lines = [" ".join(word() if r.random() < 0.12 else w for w in base) for _ in range(60)]
+    assert not any(len(grams(a) & grams(b)) >= 0.8 * len(grams(a) | grams(b)) for i, a in enumerate(lines) for b in lines[:i])
+    docs = make(list(enumerate(lines)))
+    assert all(r.kept == [0] for r in line_dedup.decisions(docs).collect())
+    assert counts["line-near"] > 60 and sum(counts.get(name, 0) for name in ("line-far", "line-best", "line-rest")) < 60
+    found = line_dedup.lines(docs).select("h", "line").collect()
+    sketch = {x.h: x for x in line_dedup._sketched(line_dedup.lines(docs).select("h", "line")).collect()}
+    for x, y in zip(found, found[1:]):
+        p, q = sketch[x.h], sketch[y.h]
+        unlike = sum(((p[f"s{k}"] ^ q[f"s{k}"]) & (2**64 - 1)).bit_count() for k in range(line_dedup.WORDS))
+        apart = len(grams(x.line) ^ grams(y.line))
+        assert p.n == len(grams(x.line)) and 0.6 * apart < unlike <= apart
+
+
 def test_line_dedup_documents(make):
     docs = make(EDGES).withColumn("h", F.lit("mine"))
     out = line_dedup.dedup(docs)
