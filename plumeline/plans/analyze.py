@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from typing import Protocol
 
 import pandas as pd
@@ -88,13 +88,32 @@ def analyze(
         return lean.sparkSession.createDataFrame([], schema)
 
     registered = LANGUAGES.get(language.name) is language
+    make = lambda: Analyser(settings, lexicon, resolve(language.name) if registered else language, known, color, explain)
+    return _one_pass(lean, names, make, lambda analyser, texts: analyser(texts), schema)
+
+
+def phrase_echoes(docs: DataFrame, settings: Settings | None = None, common: DataFrame | Mapping[str, int] | None = None, key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The ranges of phrase echoes of docs (key, text): key, idx, size, other, rarest, as operators.echo gives them.  One pass
+    over the documents as they are read, without a shuffle."""
+    settings, language = settings or Settings(), resolve()
+    known = levels(common, language) if settings.echoes else {}
+    names = list(key)
+    lean = spread(docs.select(*names, F.coalesce("text", F.lit("")).alias("text")))
+    types = dict(lean.dtypes)
+    schema = ", ".join([f"`{c}` {types[c]}" for c in names] + ["idx int, size int, other int, rarest int"])
+    make = lambda: Analyser(settings, Lexicon([]), resolve(), known, False, False)
+    return _one_pass(lean, names, make, lambda analyser, texts: analyser.phrase_echoes(texts), schema)
+
+
+def _one_pass(lean: DataFrame, names: list[str], make: Callable[[], Analyser], find: Callable[[Analyser, list[str]], pd.DataFrame], schema: str) -> DataFrame:
+    """What find(make(), texts) returns of lean's texts, batch by batch, with the key of each row's document in place of doc."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        analyser = Analyser(settings, lexicon, resolve(language.name) if registered else language, known, color, explain)
+        analyser = make()
         for frame in frames:
             size = frame["text"].str.len().cumsum() // BATCH_CHARS
             for _, part in frame.groupby(size, sort=False):
-                found = analyser(part["text"].tolist())
+                found = find(analyser, part["text"].tolist())
                 if not len(found):
                     continue
                 keys = part[names].iloc[found.pop("doc").to_numpy()].reset_index(drop=True)

@@ -15,7 +15,7 @@ from ..language import french
 from ..operators import assemble, echo, repetition, scope, tokens, weak
 from ..settings import Settings
 from ..sources.lexicon import LEAST_BEFORE, Family, Lexicon, compile_entries, default_lexicon
-from .analyze import analyze, marked_tokens
+from .analyze import analyze, phrase_echoes
 
 S = Settings()
 PLAIN = Settings(use_stemming=False)
@@ -203,8 +203,7 @@ def q_rare_echoes(spark, d):
 
 
 def q_phrase_echoes(spark, d):
-    m = marked_tokens(docs(spark, d), S, None)
-    return echo.extend(echo.phrase_echo_starts(m, S)).select("doc_id", "idx", "size", "other", "rarest")
+    return phrase_echoes(docs(spark, d), S)
 
 
 #: English and German stand-ins, since the test tables are in four languages: endings, words, a phrase.

@@ -178,3 +178,27 @@ def test_stable_colors(spark, tmp_path):
 def test_scope_changes(spark):
     seen = spark.createDataFrame([(1, 1, None), (1, 2, None), (1, 3, "tag"), (2, 1, "folder")], "doc_id long, version long, exclusion string")
     assert sorted((r.doc_id, r.version) for r in versions.scope_changes(seen).collect()) == [(1, 1), (1, 3), (2, 1)]
+
+
+def test_phrase_echoes_in_one_pass(spark, tmp_path):
+    """The query finds in one pass, without a shuffle, what the relations find."""
+    from plumeline.operators import echo
+    from plumeline.plans import queries
+    from plumeline.plans.analyze import marked_tokens, phrase_echoes
+
+    far = " ".join(f"mot{i} autre{i}." for i in range(400))
+    again = "le zibeline du crépuscule"
+    rows = [(1, f"Voici {again} violet. {far} Encore {again} violet."), (2, None), (3, f"{far} {far}"), (4, ""), (5, f"Un mot. {again}. {far} {again}. {far} {again}.")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = queries.docs(spark, str(tmp_path))
+    got = queries.q_phrase_echoes(spark, str(tmp_path))
+    want = echo.extend(echo.phrase_echo_starts(marked_tokens(docs, queries.S, None), queries.S)).select(*got.columns)
+    assert got.dtypes == want.dtypes
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert "hashpartitioning" not in got._jdf.queryExecution().toString()
+    # words as common as the rarity allows are no echoes of their own, yet make rare phrases
+    known = {"zibelin": 2, "crépuscul": 2, "violet": 2}
+    table = spark.createDataFrame(sorted(known.items()), "stem string, level int")
+    mine = sorted(map(tuple, phrase_echoes(docs, queries.S, known).collect()))
+    other = echo.extend(echo.phrase_echo_starts(marked_tokens(docs, queries.S, table), queries.S))
+    assert len(mine) >= 4 and mine == sorted(map(tuple, other.select("doc_id", "idx", "size", "other", "rarest").collect()))
