@@ -16,6 +16,8 @@ SCALE = 64
 SHARD, BLOCK, LEVELS = 8192, 256, 16
 #: A query stops when at most so many times the wanted rows are possible.
 FEW = 16
+#: Queries of a block that go ahead level by level; the others read what these needed at least in one go.
+AHEAD = 8
 
 
 def build(ids: np.ndarray, x: np.ndarray) -> bytes:
@@ -52,11 +54,14 @@ class Index:
         self.largest = np.abs(self.impact).max(initial=0)
         #: Postings that queries read before they stopped, and those they would read without stopping.
         self.read = self.all = 0
-
-    def level(self, k: int, out: np.ndarray) -> np.ndarray:
-        """Puts the postings of level k into out (rows, dim)."""
-        a, b = self.starts[k * self.dim], self.starts[(k + 1) * self.dim]
-        d = np.repeat(np.arange(self.dim), np.diff(self.starts[k * self.dim : (k + 1) * self.dim + 1]))
+        self.whole: np.ndarray | None = None
+        self.kept: tuple = (None, None)
+
+    def between(self, j: int, k: int) -> np.ndarray:
+        """The postings of the levels from j to before k as columns by dimension (rows, dim), whole numbers as doubles."""
+        a, b = self.starts[j * self.dim], self.starts[k * self.dim]
+        d = np.repeat(np.tile(np.arange(self.dim), k - j), np.diff(self.starts[j * self.dim : k * self.dim + 1]))
+        out = np.zeros((self.rows, self.dim))
         out[self.vec[a:b], d] = self.impact[a:b]
         return out
 
@@ -66,46 +71,74 @@ class Index:
         Segments are read by descending level, and every level adds its part of all scores.  What a vector's unread postings
         can still add lies within |query| * |rest|, rest the length of what the vector has left; a query stops once this
         proves that all but a few vectors are out, and those few are scored exactly on their postings.  Reading all levels
-        proves every score.
+        proves every score.  A few queries go ahead; the others read together the levels before the first at which one of
+        these stopped, and look for their proof from there on.
         """
-        rows, dim, levels = self.rows, self.dim, self.levels
         q = np.floor(queries * SCALE)
-        bound = np.abs(q).max(initial=0) * self.largest * dim
-        kind = np.float32 if bound < 2**23 else np.float64
-        length = np.sqrt((q * q).sum(axis=1))
-        acc = np.zeros((len(q), rows), kind)
-        active = np.arange(len(q))
         possible: list[np.ndarray] = [np.zeros(0, np.int64)] * len(q)
-        keep = min(rows, top + self.repeats)  # the query's own rows may be among them
-        for k in range(max(levels, 1)):
-            if levels:
-                acc[active] += q[active].astype(kind) @ self.level(k, np.zeros((rows, dim), kind)).T
-                self.read += len(active) * int(self.starts[(k + 1) * dim] - self.starts[k * dim])
-            last = k >= levels - 1
-            slack = (length[active][:, None] * self.rest[k][None, :]) * (1 + 1e-9) + 1e-6 if not last else 0.0
-            bar = np.partition(acc[active] - slack, rows - keep, axis=1)[:, rows - keep]
-            left = acc[active] + slack >= bar[:, None]
-            stop = (left.sum(axis=1) <= FEW * keep) | last
-            for i in np.flatnonzero(stop).tolist():
-                possible[active[i]] = np.flatnonzero(left[i])
-            active = active[~stop]
-            if not len(active):
-                break
+        first = 0
+        for part in (np.arange(min(AHEAD, len(q))), np.arange(AHEAD, len(q))):
+            if len(part):
+                first = self._scan(q, part, first, top, possible)
         self.all += len(q) * len(self.vec)
-        whole = np.zeros((rows, dim))
-        for j in range(levels):
-            self.level(j, whole)
-        found = []
+        if self.whole is None:
+            self.whole = self.between(0, self.levels)
+        exact = np.abs(q).max(initial=0) * self.largest * self.dim < 2**52
+        ids, vecs, scores = [], [], []
         for i in range(len(q)):
             at = possible[i]
             at = at[self.ids[at] != query_ids[i]]
-            if bound < 2**52:
-                score = (whole[at] @ q[i]).astype(np.int64)
+            if exact:
+                score = (self.whole[at] @ q[i]).astype(np.int64)
             else:
-                score = np.array([sum(int(a) * int(b) for a, b in zip(whole[j].tolist(), q[i].tolist(), strict=True)) for j in at], object)
+                score = np.array([sum(int(a) * int(b) for a, b in zip(self.whole[j].tolist(), q[i].tolist(), strict=True)) for j in at], object)
             best = np.lexsort((self.ids[at], -score))[:top]
-            found.append(pd.DataFrame({"query_id": query_ids[i], "vec_id": self.ids[at][best], "score": score[best]}))
-        return pd.concat(found, ignore_index=True) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+            ids.append(np.full(len(best), query_ids[i]))
+            vecs.append(self.ids[at][best])
+            scores.append(score[best])
+        together = lambda parts: np.concatenate(parts) if parts else []
+        return pd.DataFrame({"query_id": together(ids), "vec_id": together(vecs), "score": together(scores)})
+
+    def _scan(self, q: np.ndarray, active: np.ndarray, first: int, top: int, possible: list[np.ndarray]) -> int:
+        """Reads levels for the queries `active` of q until all have stopped, and puts the vectors that each leaves into
+        possible.  The levels up to `first` are read in one go.  Returns the level at which the first query stopped."""
+        rows, levels = self.rows, self.levels
+        kind = np.float32 if np.abs(q).max(initial=0) * self.largest * self.dim < 2**23 else np.float64
+        length = np.sqrt((q * q).sum(axis=1))
+        keep = min(rows, top + self.repeats)  # the query's own rows may be among them
+        acc, done, earliest = np.zeros((len(active), rows), kind), 0, None
+        for k in range(first, max(levels, 1)):
+            if levels:
+                acc += q[active].astype(kind) @ self._columns(done, k + 1, kind).T
+                self.read += len(active) * int(self.starts[(k + 1) * self.dim] - self.starts[done * self.dim])
+                done = k + 1
+            last = k >= levels - 1
+            if last:
+                bar = np.partition(acc, rows - keep, axis=1)[:, rows - keep]
+                left = acc >= bar[:, None]
+                stop = np.ones(len(active), bool)
+            else:
+                slack = (length[active][:, None] * self.rest[k][None, :]) * (1 + 1e-9) + 1e-6
+                bar = np.partition(acc - slack, rows - keep, axis=1)[:, rows - keep]
+                left = acc + slack >= bar[:, None]
+                stop = left.sum(axis=1) <= FEW * keep
+            for i in np.flatnonzero(stop).tolist():
+                possible[active[i]] = np.flatnonzero(left[i])
+            if stop.any() and earliest is None:
+                earliest = k
+            if stop.all():
+                break
+            if stop.any():
+                active, acc = active[~stop], acc[~stop]
+        return earliest
+
+    def _columns(self, j: int, k: int, kind: type) -> np.ndarray:
+        """between(j, k) as kind; that of the first levels is kept for the next block of queries."""
+        if j or k == 1:  # a single level is quickly laid out
+            return self.between(j, k).astype(kind)
+        if (k, kind) != self.kept[0]:
+            self.kept = ((k, kind), self.between(j, k).astype(kind))
+        return self.kept[1]
 
 
 def search_top(df: DataFrame, queries: DataFrame, top: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", shard: int = SHARD) -> DataFrame:

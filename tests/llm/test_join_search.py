@@ -117,3 +117,26 @@ def test_stop_on_proof():
     for q in range(5):
         s = x @ x[q]
         assert got[got["query_id"] == q]["vec_id"].tolist() == [i for i in np.lexsort((np.arange(4000), -s)) if i != q][:10]
+
+
+def test_levels_in_one_go(monkeypatch):
+    """Behind the few queries that go ahead the others lay out no level for itself, and stop on the same proof."""
+    r = np.random.default_rng(5)
+    calls, between = [], topk_search.Index.between
+    monkeypatch.setattr(topk_search.Index, "between", lambda self, j, k: calls.append((j, k)) or between(self, j, k))
+    n = 100
+    x = np.floor(64 * r.standard_normal((2000, 16)))  # no proof before the end
+    index = topk_search.Index(topk_search.build(np.arange(2000), x))
+    index.find(np.arange(n), x[:n] / 64, 10)
+    ahead = len(calls)
+    got = index.find(np.arange(n), x[:n] / 64, 10)
+    assert index.levels == 16 and ahead <= 16 + 2 + 1 and len(calls) - ahead <= 16
+    y = np.zeros((4000, 16))
+    y[:, :14] = r.integers(-2, 3, (4000, 14))
+    y[np.arange(4000), r.integers(0, 16, 4000)] = r.integers(50, 4000, 4000)
+    few = topk_search.Index(topk_search.build(np.arange(4000), y))
+    for v, found in ((x, got), (y, few.find(np.arange(n), y[:n] / 64, 10))):
+        for q in range(n):
+            s = v @ v[q]
+            assert found[found["query_id"] == q]["vec_id"].tolist() == [i for i in np.lexsort((np.arange(len(v)), -s)) if i != q][:10]
+    assert few.read < 0.9 * few.all
