@@ -1,7 +1,8 @@
 """Fuzzy dedup of lines: one line of each component stays.  DataFrame and SQL functions only.
 
-Signatures.  A line's shingles are its pieces of SHINGLE characters at all positions; short lines use pieces of GRAM
-characters, those of OVERLAP characters both.  Positions are exploded and hashed in generated code, hashes above a bound
+Signatures.  A line's shingles are its pieces of SHINGLE bytes of UTF-8 at all positions; short lines use pieces of GRAM
+bytes, those of OVERLAP bytes both (in other scripts than Latin pieces hold fewer characters, so an edit touches fewer of
+them, and lines that are alike agree by more).  Positions are exploded and hashed in generated code, hashes above a bound
 (CHOSEN are expected below it) go at once, and the smallest hash of each of BINS bins (one-permutation MinHash) is kept.  A
 line that repeats itself may leave few bins filled; it is done again without the bound, and if its pieces are few, with both
 widths.
@@ -31,7 +32,7 @@ from .components import components
 
 #: LEAST: lines of fewer characters are too short to judge, and always stay.
 SHINGLE, GRAM, LEAST, NEAR, BLOCK, CHUNK = 9, 5, 5, 4, 512, 4096
-#: Bins, hashes expected below the bound, filled bins below which a line is done again, characters of short lines that have
+#: Bins, hashes expected below the bound, filled bins below which a line is done again, bytes of short lines that have
 #: both signatures, share of all values of two candidates that they have in common.
 BINS, CHOSEN, FEW, OVERLAP, AGREE = 14, 32, 7, (40, 60), 0.2
 #: Different grams from which on a line that repeats itself has no signature of grams.
@@ -51,16 +52,16 @@ def lines(docs: DataFrame) -> DataFrame:
 
 
 def _piece(b: str, at: str, width: int) -> str:
-    return f"substring({b}, 4 * ({at}) + 1, {4 * width})"
+    return f"substring({b}, {at} + 1, {width})"
 
 
 def _signed(found: DataFrame, whole: bool = False) -> DataFrame:
-    """From h, line: h, kind (0: shingles, 1: grams), n and sig, the smallest hash of each filled bin as 16 * hash + bin.
-    whole: without the bound, and with both kinds for every line."""
+    """From h, line: h, kind (0: shingles, 1: grams), n, sig, the smallest hash of each filled bin as 16 * hash + bin, and c0 and
+    c1, the codes of the even and the odd bins, a byte each: 0 if it is empty, else 1 + hash % 255.  whole: without the bound, and with both kinds for every line."""
     grams_from, shingles_from = ("true", "true") if whole else (f"n <= {OVERLAP[1]}", f"n >= {OVERLAP[0]}")
     last = lambda width: f"greatest(n - {width}, 0)"
     places = f"sequence(if({grams_from}, -{last(GRAM)} - 1, 0), if({shingles_from}, {last(SHINGLE)}, -1))"
-    at = found.select("h", F.encode("line", "UTF-32").alias("b"), F.length("line").alias("n")).select("h", "n", "b", F.expr(f"explode({places})").alias("i"))
+    at = found.select("h", F.expr("cast(line as binary)").alias("b"), F.octet_length("line").alias("n")).select("h", "n", "b", F.expr(f"explode({places})").alias("i"))
     at = at.select("h", "n", (F.col("i") < 0).cast("int").alias("kind"), "i", F.expr(f"xxhash64(if(i < 0, {_piece('b', '-i - 1', GRAM)}, {_piece('b', 'i', SHINGLE)}))").alias("x"))
     value = f"(x & {(1 << VALUE_BITS) - 1}L)"
     below = F.lit(True) if whole else F.expr(f"n <= {CHOSEN} or {value} * n < {CHOSEN << VALUE_BITS}L")
@@ -68,17 +69,20 @@ def _signed(found: DataFrame, whole: bool = False) -> DataFrame:
     at = at.select("h", "kind", "n", F.expr(f"if(below, cast(shiftrightunsigned(x, 33) % {BINS} as int), -1)").alias("bin"), F.expr(f"cast({value} as int)").alias("v"))
     least = [F.min(F.when(F.col("bin") == k, F.col("v"))).alias(f"v{k}") for k in range(BINS)]
     tagged = F.array_compact(F.array(*[F.expr(f"v{k} * 16 + {k}") for k in range(BINS)]))
-    return at.groupBy("h", "kind", "n").agg(*least).select("h", "kind", "n", tagged.alias("sig"))
+    codes = [F.expr(" + ".join(f"coalesce(shiftleft(1L + v{k} % 255, {8 * (k // 2)}), 0L)" for k in range(odd, BINS, 2))).alias(f"c{odd}") for odd in (0, 1)]
+    return at.groupBy("h", "kind", "n").agg(*least).select("h", "kind", "n", tagged.alias("sig"), *codes)
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """h, kind, n, sig of the different lines of docs, written to the shared folder."""
+def signatures(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """h, kind, n, sig, c0, c1 of the different lines of docs, written to the shared folder.  places (h, at): one place of each line."""
     found = lines(docs).select("h", "line")
     first = cut(_signed(found), "line-signatures")
     few = cut(first.where((F.size("sig") < FEW) & (F.col("n") > CHOSEN)).select("h").distinct(), "line-repetitive")
     # grams serve lines of few different ones, which may be a short line's; smallest hashes that lie low tell of many
     mean = F.aggregate("sig", F.lit(0).cast("long"), lambda total, x: total + F.shiftright(x, 4)) / F.size("sig")
-    again = _signed(_texts(found, few), whole=True).where((F.col("kind") == 0) | (mean * MANY >= BINS << VALUE_BITS))
+    held = places.join(_small(few), "h", "left_semi").select("at.th").distinct()
+    again = lines(docs.join(_small(held), F.xxhash64("text") == F.col("th"), "left_semi")).select("h", "line")
+    again = _signed(_texts(again, few), whole=True).where((F.col("kind") == 0) | (mean * MANY >= BINS << VALUE_BITS))
     again = cut(again, "line-signatures-again")
     return first.join(_small(few), "h", "left_anti").unionByName(again)
 
@@ -103,28 +107,39 @@ def band_keys(signed: DataFrame) -> DataFrame:
 
 
 def _agree(a: str, b: str) -> Column:
-    """Whether two signatures have enough of their values in common."""
-    return F.size(F.array_intersect(a, b)) * (1 + AGREE) >= F.lit(AGREE) * (F.size(a) + F.size(b)) - F.lit(1e-9)
+    """Whether two signatures (prefixes of the columns of their codes) may have enough of their values in common: equal values
+    have equal codes, so none that have is lost."""
+    low, high = (int(x * 7, 16) for x in ("7f", "80"))  # a sum's top bit tells a byte that is not 0
+    filled = lambda x: f"bit_count(((({x}) & {low}L) + {low}L | ({x})) & {high}L)"
+    # bins that one of the two fills, without those where they differ
+    common = " + ".join(f"{filled(f'{a}c{k} | {b}c{k}')} - {filled(f'{a}c{k} ^ {b}c{k}')}" for k in (0, 1))
+    both = " + ".join(filled(f"{x}c{k}") for x in (a, b) for k in (0, 1))
+    return F.expr(f"({common}) * {1 + AGREE}D >= {AGREE}D * ({both}) - 1e-9D")
 
 
 def _ordered(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
 
 
-def verified_pairs(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def first_places(docs: DataFrame) -> DataFrame:
+    """h, at: each different line's first place (doc_id, hash of the text, position), written to the shared folder."""
+    return cut(lines(docs).groupBy("h").agg(F.min(F.struct("doc_id", "th", "pos")).alias("at")), "line-first")
+
+
+def verified_pairs(docs: DataFrame, threshold: float = THRESHOLD, places: DataFrame | None = None) -> DataFrame:
     """u, v: hashes of two different lines of docs that links of at least the threshold connect; of pairs that share a band,
-    enough to connect all that are linked."""
-    signed = signatures(docs)
+    enough to connect all that are linked.  places: first_places(docs), if the caller has them."""
+    signed = signatures(docs, first_places(docs) if places is None else places)
     size = F.count("*").over(Window.partitionBy("key"))
     members = cut(band_keys(signed).withColumn("size", size).where("size > 1").withColumn("kind", F.expr("cast(key & 1 as int)")), "line-members")
-    shared = members.join(signed.drop("n"), ["h", "kind"])
+    shared = members.join(signed.select("h", "kind", "c0", "c1"), ["h", "kind"])
 
     # a large bucket's order is laid out in chunks, so that no task sorts all of it
     order = Window.partitionBy("key", F.pmod(F.xxhash64("h"), F.ceil(F.col("size") / CHUNK))).orderBy(F.xxhash64("h", "key"))
-    mine = F.struct("h", "sig")
+    mine = F.struct("h", "c0", "c1")
     partners = [F.lead(mine, k).over(order) for k in range(1, NEAR + 1)]
-    near = shared.select("h", "sig", F.array(*partners, F.first(mine).over(order)).alias("o")).select("h", "sig", F.explode("o").alias("o")).where("h <> o.h")
-    near = near.where(_agree("sig", "o.sig")).select("h", F.col("o.h").alias("g"))
+    near = shared.select("h", "c0", "c1", F.array(*partners, F.first(mine).over(order)).alias("o")).select("h", "c0", "c1", F.explode("o").alias("o")).where("h <> o.h")
+    near = near.where(_agree("", "o.")).select("h", F.col("o.h").alias("g"))
     near = cut(near.select(*_ordered("h", "g")).distinct(), "line-near")
     drop_cut(signed)
 
@@ -136,13 +151,18 @@ def verified_pairs(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     possible = cut(_possible(near, sketches, threshold), "line-possible")
     drop_cut(near)
 
-    # each line's likeliest partner first; then what that left in different components
+    # each line's likeliest partner first; of what that left in different components the likeliest pair of each two; then the
+    # pairs that are in different components still
     each = possible.select(F.explode(F.array("u", "v")).alias("h"), F.struct("unlike", "u", "v", "m", "n").alias("pair"))
     best = cut(each.groupBy("h").agg(F.min("pair").alias("pair")).select("pair.*").distinct(), "line-best")
     group = components(cut(_close(best, texts, threshold), "line-close"), "line-close-components")
     rest = cut(_across(possible.join(best, ["u", "v"], "left_anti"), group), "line-rest")
-    more = cut(_close(rest, texts, threshold), "line-rest-close")
-    drop_cut(best, rest)
+    first = cut(rest.groupBy("r", "s").agg(F.min(F.struct("unlike", "u", "v", "m", "n")).alias("pair")).select("pair.*"), "line-rest-first")
+    more = cut(_close(first, texts, threshold), "line-rest-first-close")
+    group = components(_edges(group).unionByName(more), "line-rest-components")
+    left = cut(_across(rest.drop("r", "s").join(first, ["u", "v"], "left_anti"), group), "line-rest-left")
+    more = cut(_close(left, texts, threshold), "line-rest-close")
+    drop_cut(best, rest, first, left)
     group = components(_edges(group).unionByName(more), "line-near-components")
     far = cut(_apart(members, group, sketches, threshold).join(possible, ["u", "v"], "left_anti"), "line-far")
     drop_cut(members, possible, sketches)
@@ -163,7 +183,8 @@ def _edges(group: DataFrame) -> DataFrame:
 def _sketched(texts: DataFrame) -> DataFrame:
     """h, n and s0, s1, ...: the number of a line's different grams and its sketch, of 64 * WORDS bits: each is the parity of
     the grams that fall on it.  Two sketches differ in no more bits than the sets have members that only one of them has."""
-    at = texts.repartition("h").select("h", F.explode(grams(F.col("line"))).alias("x"))  # no other exchange
+    at = texts.repartition("h").select("h", grams(F.col("line")).alias("g"))  # no other exchange
+    at = at.select("h", F.explode_outer("g").alias("x"))  # in generated code; explode() would have g worked out twice, to see if it is empty
     at = at.select("h", F.expr(f"cast(shiftrightunsigned(x, 6) % {WORDS} as int)").alias("k"), F.expr("shiftleft(1L, cast(x & 63 as int))").alias("bit"))
     parts = at.groupBy("h", "k").agg(F.bit_xor("bit").alias("s"), F.count("*").alias("n"))
     words = [F.coalesce(F.max(F.when(F.col("k") == k, F.col("s"))), F.lit(0).cast("long")).alias(f"s{k}") for k in range(WORDS)]
@@ -194,9 +215,9 @@ def _possible(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFr
 
 
 def _across(pairs: DataFrame, group: DataFrame) -> DataFrame:
-    """The pairs that are in different components of group."""
+    """The pairs that are in different components of group, r and s (r < s)."""
     of = lambda h, r: group.select(F.col("node").alias(h), F.col("root").alias(r))
-    return pairs.join(of("u", "r"), "u", "left").join(of("v", "s"), "v", "left").where("coalesce(r, u) <> coalesce(s, v)").drop("r", "s")
+    return pairs.join(of("u", "r"), "u", "left").join(of("v", "s"), "v", "left").withColumns({"r": F.coalesce("r", "u"), "s": F.coalesce("s", "v")}).where("r <> s").withColumns({"r": F.least("r", "s"), "s": F.greatest("r", "s")})
 
 
 def _apart(members: DataFrame, group: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
@@ -228,6 +249,7 @@ def _once(value: Column, use) -> Column:
 
 def _close(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """u, v of the pairs (a written table with m, n, the numbers of grams) whose exact similarity reaches the threshold."""
+    texts = texts.join(_small(pairs.select(F.explode(F.array("u", "v")).alias("h")).distinct()), "h", "left_semi")
     side = lambda h, line: texts.select(F.col("h").alias(h), F.col("line").alias(line))
     both = pairs.select("u", "v", "m", "n").join(side("u", "a"), "u").join(side("v", "b"), "v")
     same = F.size(F.array_intersect(grams(F.col("a")), grams(F.col("b"))))  # of m + n - same in all
@@ -237,11 +259,12 @@ def _close(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 def kept_positions(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, th, kept: for each text (by doc_id and hash) that keeps any line of LEAST characters or more, the positions of
     those.  Of a component the line that comes first stays: smallest doc_id (null first), then hash of the text, position."""
-    at = F.struct("doc_id", "th", "pos")
-    first = cut(lines(docs).groupBy("h").agg(F.min(at).alias("at")), "line-first")
-    group = components(verified_pairs(docs, threshold), "line-components")
-    whole = first.join(group, F.col("h") == F.col("node"), "left").select(F.coalesce("root", "h").alias("group"), "at")
-    stay = whole.groupBy("group").agg(F.min("at").alias("at")).select("at.*")
+    first = first_places(docs)
+    group = components(verified_pairs(docs, threshold, first), "line-components")
+    tied = group.select(F.col("node").alias("h"), "root").union(group.select(F.col("root").alias("h"), "root").distinct())
+    whole = first.join(_small(tied), "h", "left")
+    stay = whole.where("root is not null").groupBy("root").agg(F.min("at").alias("at")).select("at.*")
+    stay = whole.where("root is null").select("at.*").unionByName(stay)
     return stay.groupBy("doc_id", "th").agg(F.collect_list("pos").alias("kept"))
 
 
@@ -251,9 +274,10 @@ def decisions(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Lines shorter than LEAST characters, blank ones among them, always stay.  Null text has no lines, empty text one empty
     line.  Rows with the same doc_id and text are one document that was read twice: all get the same decisions.  An empty
     table gives an empty table."""
-    split = F.split(F.coalesce("text", F.lit("")), "\n")
-    short = F.filter(F.transform(split, lambda x, i: F.when(F.length(x) < LEAST, i)), lambda i: i.isNotNull())
-    lean = docs.select("doc_id", F.xxhash64("text").alias("th"), F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).alias("n_lines"), F.when(F.col("text").isNull(), F.array().cast("array<int>")).otherwise(short).alias("short"))
+    sizes = F.transform(F.split("text", "\n"), F.length)  # null for null
+    lean = docs.select("doc_id", F.xxhash64("text").alias("th"), F.coalesce(sizes, F.array().cast("array<int>")).alias("sizes"))
+    short = F.filter(F.transform("sizes", lambda n, i: F.when(n < LEAST, i)), lambda i: i.isNotNull())
+    lean = lean.select("doc_id", "th", F.size("sizes").alias("n_lines"), short.alias("short"))
     kept = kept_positions(docs, threshold).withColumnRenamed("doc_id", "id").withColumnRenamed("th", "t")
     out = lean.join(kept, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("t")), "left")
     every = F.array_sort(F.concat("short", F.coalesce("kept", F.array().cast("array<int>"))))

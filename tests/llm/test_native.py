@@ -103,6 +103,43 @@ def test_line_dedup_pairs_of_a_family(make, monkeypatch):
         assert p.n == len(grams(x.line)) and 0.6 * apart < unlike <= apart
 
 
+def test_line_dedup_verifies_few_pairs_of_copies(make, monkeypatch):
+    """Of a family of near copies each line's likeliest pair is verified, then one of each two components, not all pairs."""
+    pairs, close = [], line_dedup._close
+
+    def counting(found, texts, threshold):
+        pairs.append(found.count())
+        return close(found, texts, threshold)
+
+    monkeypatch.setattr(line_dedup, "_close", counting)
+    r = random.Random(7)
+    word = lambda: "".join(r.choices("abcdefghijklmnop", k=7))
+    base = [word() for _ in range(80)]
+    rows = []
+    for i in range(60):
+        words = list(base)
+        words[r.randrange(80)] = word()
+        rows.append((i, " ".join(words)))
+    assert all(len(grams(a) & grams(b)) >= 0.8 * len(grams(a) | grams(b)) for _, a in rows for _, b in rows)
+    got = {x.doc_id: x.kept for x in line_dedup.decisions(make(rows)).collect()}
+    assert got == {i: [0] if i == 0 else [] for i in range(60)} and sum(pairs) < 200
+
+
+def test_line_dedup_codes(spark):
+    """Codes of signatures lose no two that have enough values in common, and pass few others."""
+    r = random.Random(9)
+    rows, want = [], []
+    for _ in range(400):
+        a, b = ({k: r.randrange(1 << 27) for k in range(line_dedup.BINS) if r.random() < 0.8} for _ in "ab")
+        b |= {k: a[k] for k in a if r.random() < 0.35}
+        common = sum(a[k] == b.get(k) for k in a)
+        want.append(common * (1 + line_dedup.AGREE) >= line_dedup.AGREE * (len(a) + len(b)) - 1e-9)
+        rows.append([sum(1 + x[k] % 255 << 8 * (k // 2) for k in x if k % 2 == odd) for x in (a, b) for odd in (0, 1)])
+    d = spark.createDataFrame(rows, "ac0 long, ac1 long, bc0 long, bc1 long")
+    got = [x.ok for x in d.select(line_dedup._agree("a", "b").alias("ok")).collect()]
+    assert 50 < sum(want) < 350 and all(g for g, w in zip(got, want) if w) and sum(g and not w for g, w in zip(got, want)) < 10
+
+
 def test_line_dedup_documents(make):
     docs = make(EDGES).withColumn("h", F.lit("mine"))
     out = line_dedup.dedup(docs)
