@@ -18,7 +18,7 @@ another component.  In larger buckets all members that are in different componen
 in blocks of about BLOCK lines, and verified.  Pairs inside a component would change nothing.
 
 Two lines of similarity 0.8 whose sets of shingles agree by 0.67 (scattered edits touch more shingles than grams) are no
-candidates with a probability of about 0.008, at 0.75 of 0.0016, at 0.82 of 0.0002 (simulated, 300 shingles).  Lines are known by a 64-bit hash: among
+candidates with a probability of about 0.008, at 0.75 of 0.0016, at 0.82 of 0.0002 (simulated, 300 shingles of characters).  Lines are known by a 64-bit hash: among
 10**10 different lines two share one with a probability of 3 %, and would count as equal.
 """
 
@@ -81,7 +81,8 @@ def signatures(docs: DataFrame, places: DataFrame) -> DataFrame:
     # grams serve lines of few different ones, which may be a short line's; smallest hashes that lie low tell of many
     mean = F.aggregate("sig", F.lit(0).cast("long"), lambda total, x: total + F.shiftright(x, 4)) / F.size("sig")
     held = places.join(_small(few), "h", "left_semi").select("at.th").distinct()
-    again = lines(docs.join(_small(held), F.xxhash64("text") == F.col("th"), "left_semi")).select("h", "line")
+    again = docs.select("doc_id", "text").join(_small(held), F.xxhash64("text") == F.col("th"), "left_semi")
+    again = lines(again).select("h", "line")
     again = _signed(_texts(again, few), whole=True).where((F.col("kind") == 0) | (mean * MANY >= BINS << VALUE_BITS))
     again = cut(again, "line-signatures-again")
     return first.join(_small(few), "h", "left_anti").unionByName(again)
@@ -99,11 +100,12 @@ def _texts(found: DataFrame, some: DataFrame) -> DataFrame:
 
 def band_keys(signed: DataFrame) -> DataFrame:
     """h, key: a key for each filled bin and the next one; a line with one filled bin has one key of it.  The key's lowest bit
-    is the signature's kind."""
+    is the signature's kind.  Keys have 48 bits, since their shuffle is the largest; two that clash are one bucket, in which
+    nothing is left out."""
     keys = [F.when(F.size("sig") > k, F.xxhash64("kind", F.get("sig", F.lit(k - 1)), F.get("sig", F.lit(k)))) for k in range(1, BINS)]
     alone = F.when(F.size("sig") == 1, F.xxhash64("kind", F.get("sig", F.lit(0))))
     each = signed.select("h", "kind", F.explode(F.array(*keys, alone)).alias("key")).where("key is not null")
-    return each.select("h", F.expr("(key & -2L) | kind").alias("key"))
+    return each.select("h", F.expr("(shiftrightunsigned(key, 16) & -2L) | kind").alias("key"))
 
 
 def _agree(a: str, b: str) -> Column:
