@@ -9,6 +9,7 @@ finds highest (after a first epoch on windows drawn at random).
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from array import array
@@ -323,9 +324,9 @@ class Scorer:
         return out
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, most: int) -> pd.DataFrame:
-    """At most `most` toxic rows and twice as many others (text, toxic), the first by a hash of doc_id and text, none of the
-    held-out rows; of these, as many from the first on as have SAMPLE_CHARS characters together."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """At most `most` toxic rows and twice as many others (place, text, toxic), the first by a hash of doc_id and text, none of
+    the held-out rows; of these, as many from the first on as have SAMPLE_CHARS characters together."""
     ids = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     known = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     parts = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in ((1, most), (0, 2 * most))]
@@ -333,14 +334,23 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int) -> pd.DataFra
     rows = ids.join(F.broadcast(chosen), "doc_id").withColumn("place", F.xxhash64("doc_id", "text"))
     places = rows.select("place", F.length("text").alias("n")).orderBy("place").limit(4 * most)
     places = places.withColumn("until", F.sum("n").over(Window.orderBy("place"))).where(F.col("until") <= SAMPLE_CHARS).select("place").distinct()
-    rows = rows.join(F.broadcast(places), "place").orderBy("place", "text").limit(4 * most)
-    return rows.select("text", "toxic").toPandas()
+    return rows.join(F.broadcast(places), "place").orderBy("place", "text").limit(4 * most).select("place", "text", "toxic")
+
+
+def trained(sample: DataFrame) -> tuple[Network, float]:
+    """train() on a labelled sample, in one task: the driver gets the network, never the texts nor what training takes."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat([pd.DataFrame({"place": [], "text": [], "toxic": []}, dtype=object), *frames]).sort_values(["place", "text"], kind="stable")
+        yield pd.DataFrame({"made": [pickle.dumps(train(rows["text"].tolist(), rows["toxic"].to_numpy(np.int64)))]})
+
+    got = sample.coalesce(1).mapInPandas(run, "made binary").first()
+    return pickle.loads(got["made"]) if got else train([], np.zeros(0))  # a plan that is empty runs no task
 
 
 def _judged(docs: DataFrame, labels: DataFrame, most: int):
     """A function from texts to scores, made anew in each task."""
-    sample = labelled_sample(docs, labels, most)
-    net, empty = train(sample["text"].tolist(), sample["toxic"].to_numpy())
+    net, empty = trained(labelled_sample(docs, labels, most))
 
     def start():
         mine = Scorer(net, empty)

@@ -1,5 +1,6 @@
 """Token ids, files, packing, and the two classifiers."""
 
+import os
 import random
 import zlib
 
@@ -142,6 +143,24 @@ def test_toxicity(spark, make):
     assert all(r.score < 0.01 for r in toxicity.score(docs, labels(spark, rows).limit(0)).collect())
 
 
+def test_toxicity_trains_in_a_task(spark, make, monkeypatch):
+    """The driver's process doesn't train: what that takes would stand beside a JVM that may have grown to its bound."""
+    driver, train = os.getpid(), toxicity.train
+
+    def elsewhere(texts, toxic):
+        assert os.getpid() != driver
+        return train(texts, toxic)
+
+    rows = corpus(60, 3)
+    docs = make([r[:4] for r in rows])
+    sample = toxicity.labelled_sample(docs, labels(spark, rows), 1000)
+    net, empty = train(*(sample.toPandas()[c].to_numpy() for c in ("text", "toxic")))
+    monkeypatch.setattr(toxicity, "train", elsewhere)
+    other, same = toxicity.trained(sample)
+    assert same == empty and all(np.allclose(net.p[k], v, atol=1e-5) for k, v in other.p.items())
+    assert toxicity.score(docs, labels(spark, rows)).count() == 60
+
+
 def test_quality(spark, make):
     rows = corpus(300, 5)
     docs = make([r[:4] for r in rows] + [(9999, None, None, None)])
