@@ -14,8 +14,9 @@ Verification.  The exact Jaccard similarity of the two sets of pieces of GRAM ch
 Union-find over the verified pairs, distributed, gives the components.
 Buckets.  Each member of a bucket is compared with its NEAR successors in the bucket's order (of chunks of about CHUNK lines)
 and with the first, which is all pairs of a small bucket: each line's likeliest partner first, then those that this left in
-another component.  In larger buckets all members that are in different components by then are compared by their sketches,
-in blocks of about BLOCK lines, and verified.  Pairs inside a component would change nothing.
+another component.  In larger buckets all members that are in different components by then are compared, in blocks of about
+BLOCK lines: first by the codes of their signatures, which tell the members that have a candidate there, then those by their
+sketches, and verified.  Pairs inside a component would change nothing.
 
 Two lines of similarity 0.8 whose sets of shingles agree by 0.67 (scattered edits touch more shingles than grams) are no
 candidates with a probability of about 0.008, at 0.75 of 0.0016, at 0.82 of 0.0002 (simulated, 300 shingles of characters).  Lines are known by a 64-bit hash: among
@@ -68,7 +69,7 @@ def _signed(found: DataFrame, whole: bool = False) -> DataFrame:
     at = at.withColumn("below", below).where("below or i = 0 or i = -1")  # a line without any stays in the table
     at = at.select("h", "kind", "n", F.expr(f"if(below, cast(shiftrightunsigned(x, 33) % {BINS} as int), -1)").alias("bin"), F.expr(f"cast({value} as int)").alias("v"))
     least = [F.min(F.when(F.col("bin") == k, F.col("v"))).alias(f"v{k}") for k in range(BINS)]
-    tagged = F.array_compact(F.array(*[F.expr(f"v{k} * 16 + {k}") for k in range(BINS)]))
+    tagged = F.array_remove(F.array(*[F.expr(f"coalesce(v{k} * 16 + {k}, -1)") for k in range(BINS)]), -1)  # in generated code
     codes = [F.expr(" + ".join(f"coalesce(shiftleft(1L + v{k} % 255, {8 * (k // 2)}), 0L)" for k in range(odd, BINS, 2))).alias(f"c{odd}") for odd in (0, 1)]
     return at.groupBy("h", "kind", "n").agg(*least).select("h", "kind", "n", tagged.alias("sig"), *codes)
 
@@ -134,7 +135,8 @@ def verified_pairs(docs: DataFrame, threshold: float = THRESHOLD, places: DataFr
     signed = signatures(docs, first_places(docs) if places is None else places)
     size = F.count("*").over(Window.partitionBy("key"))
     members = cut(band_keys(signed).withColumn("size", size).where("size > 1").withColumn("kind", F.expr("cast(key & 1 as int)")), "line-members")
-    shared = members.join(signed.select("h", "kind", "c0", "c1"), ["h", "kind"])
+    shared = cut(members.join(signed.select("h", "kind", "c0", "c1"), ["h", "kind"]), "line-shared")
+    drop_cut(members, signed)
 
     # a large bucket's order is laid out in chunks, so that no task sorts all of it
     order = Window.partitionBy("key", F.pmod(F.xxhash64("h"), F.ceil(F.col("size") / CHUNK))).orderBy(F.xxhash64("h", "key"))
@@ -143,13 +145,10 @@ def verified_pairs(docs: DataFrame, threshold: float = THRESHOLD, places: DataFr
     near = shared.select("h", "c0", "c1", F.array(*partners, F.first(mine).over(order)).alias("o")).select("h", "c0", "c1", F.explode("o").alias("o")).where("h <> o.h")
     near = near.where(_agree("", "o.")).select("h", F.col("o.h").alias("g"))
     near = cut(near.select(*_ordered("h", "g")).distinct(), "line-near")
-    drop_cut(signed)
 
-    wanted = near.select(F.explode(F.array("u", "v")).alias("h")).union(members.where(_large()).select("h")).distinct()
-    wanted = cut(wanted, "line-wanted")
+    wanted = cut(near.select(F.explode(F.array("u", "v")).alias("h")).distinct(), "line-wanted")
     texts = cut(_texts(lines(docs).select("h", "line"), wanted), "line-texts")
     sketches = cut(_sketched(texts), "line-sketches")
-    drop_cut(wanted)
     possible = cut(_possible(near, sketches, threshold), "line-possible")
     drop_cut(near)
 
@@ -166,18 +165,20 @@ def verified_pairs(docs: DataFrame, threshold: float = THRESHOLD, places: DataFr
     more = cut(_close(left, texts, threshold), "line-rest-close")
     drop_cut(best, rest, first, left)
     group = components(_edges(group).unionByName(more), "line-near-components")
-    far = cut(_apart(members, group, sketches, threshold).join(possible, ["u", "v"], "left_anti"), "line-far")
-    drop_cut(members, possible, sketches)
+    large = cut(_large(shared, group), "line-large")
+    drop_cut(shared)
+    agreeing = cut(_agreeing(large), "line-agreeing")
+    added = cut(agreeing.join(wanted, "h", "left_anti"), "line-added")
+    texts = texts.unionByName(cut(_texts(lines(docs).select("h", "line"), added), "line-texts-added"))
+    sketches = sketches.unionByName(cut(_sketched(texts.join(_small(added), "h", "left_semi")), "line-sketches-added"))
+    large = cut(_mixed(large.join(_small(agreeing), "h", "left_semi")), "line-mixed")
+    far = cut(_apart(large, sketches, threshold).join(possible, ["u", "v"], "left_anti"), "line-far")
+    drop_cut(wanted, agreeing, added, possible, sketches)
     more = cut(_close(far, texts, threshold), "line-far-close")
     drop_cut(far, texts)
     return _edges(group).unionByName(more)
 
 
-def _large() -> Column:
-    """Whether a bucket has more members than the near ones of each."""
-    return F.col("size") > NEAR + 1
-
-
 def _edges(group: DataFrame) -> DataFrame:
     return group.select(F.col("node").alias("u"), F.col("root").alias("v"))
 
@@ -185,12 +186,11 @@ def _edges(group: DataFrame) -> DataFrame:
 def _sketched(texts: DataFrame) -> DataFrame:
     """h, n and s0, s1, ...: the number of a line's different grams and its sketch, of 64 * WORDS bits: each is the parity of
     the grams that fall on it.  Two sketches differ in no more bits than the sets have members that only one of them has."""
-    at = texts.repartition("h").select("h", grams(F.col("line")).alias("g"))  # no other exchange
+    at = texts.select("h", grams(F.col("line")).alias("g"))
     at = at.select("h", F.explode_outer("g").alias("x"))  # in generated code; explode() would have g worked out twice, to see if it is empty
     at = at.select("h", F.expr(f"cast(shiftrightunsigned(x, 6) % {WORDS} as int)").alias("k"), F.expr("shiftleft(1L, cast(x & 63 as int))").alias("bit"))
-    parts = at.groupBy("h", "k").agg(F.bit_xor("bit").alias("s"), F.count("*").alias("n"))
-    words = [F.coalesce(F.max(F.when(F.col("k") == k, F.col("s"))), F.lit(0).cast("long")).alias(f"s{k}") for k in range(WORDS)]
-    return parts.groupBy("h").agg(F.sum("n").cast("int").alias("n"), *words)
+    words = [F.coalesce(F.bit_xor(F.when(F.col("k") == k, F.col("bit"))), F.lit(0).cast("long")).alias(f"s{k}") for k in range(WORDS)]
+    return at.groupBy("h").agg(F.count("*").cast("int").alias("n"), *words)
 
 
 def _side(h: str, n: str, s: str) -> list[Column]:
@@ -222,16 +222,38 @@ def _across(pairs: DataFrame, group: DataFrame) -> DataFrame:
     return pairs.join(of("u", "r"), "u", "left").join(of("v", "s"), "v", "left").withColumns({"r": F.coalesce("r", "u"), "s": F.coalesce("s", "v")}).where("r <> s").withColumns({"r": F.least("r", "s"), "s": F.greatest("r", "s")})
 
 
-def _apart(members: DataFrame, group: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
-    """u, v, m, n: pairs of a bucket of more than NEAR + 1 lines that are in different components of group and that their
-    sketches leave."""
-    large = members.where(_large()).join(group.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
-    large = cut(large, "line-large")
-    mixed = large.groupBy("key").agg(F.min("root").alias("lowest"), F.max("root").alias("highest")).where("lowest <> highest")
-    large = large.join(mixed.select("key"), "key").join(sketches, "h").withColumn("chunks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    large = cut(large, "line-mixed").withColumn("x", F.pmod(F.xxhash64("h"), F.col("chunks")).cast("int")).withColumn("y", F.explode(F.expr("sequence(0, chunks - 1)")))
-    large = large.withColumns({"bi": F.least("x", "y"), "bj": F.greatest("x", "y")})
-    half = lambda at, h, root, n, s: large.where(f"x = {at}").select("key", "bi", "bj", F.col("root").alias(root), *_side(h, n, s))
+def _large(shared: DataFrame, group: DataFrame) -> DataFrame:
+    """h, key, root, size, c0, c1: members of the buckets with more lines than the near ones of each, if group has different
+    components of them."""
+    large = shared.where(F.col("size") > NEAR + 1).join(group.withColumnRenamed("node", "h"), "h", "left")
+    return _mixed(cut(large.withColumn("root", F.coalesce("root", "h")), "line-large-all"))
+
+
+def _mixed(large: DataFrame) -> DataFrame:
+    """Members of buckets that hold lines of different components, with the bucket's size."""
+    mixed = large.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("lowest"), F.max("root").alias("highest"))
+    return large.drop("size").join(mixed.where("lowest <> highest").select("key", "size"), "key")
+
+
+def _dealt(large: DataFrame) -> DataFrame:
+    """large with x, the block of a bucket in which a line is, among about size / BLOCK."""
+    return large.withColumn("chunks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("x", F.pmod(F.xxhash64("h"), F.col("chunks")).cast("int"))
+
+
+def _agreeing(large: DataFrame) -> DataFrame:
+    """h of the lines that a candidate of another component shares a large bucket with.  Each line is sought in each block, and a
+    row tells that it was met there, so the rows do not grow with the pairs."""
+    dealt = _dealt(large)
+    here = dealt.select("h", F.col("root").alias("r"), F.col("key").alias("k"), F.explode(F.expr("sequence(0, chunks - 1)")).alias("y"), F.col("c0").alias("pc0"), F.col("c1").alias("pc1"))
+    there = dealt.select("key", "x", F.col("root").alias("s"), F.col("c0").alias("qc0"), F.col("c1").alias("qc1"))
+    return here.join(there, F.expr("k = key and y = x and r <> s") & _agree("p", "q"), "left_semi").select("h").distinct()
+
+
+def _apart(large: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
+    """u, v, m, n: pairs of a large bucket that are in different components and that their sketches leave."""
+    dealt = _dealt(large.join(sketches, "h")).withColumn("y", F.explode(F.expr("sequence(0, chunks - 1)")))
+    dealt = dealt.withColumns({"bi": F.least("x", "y"), "bj": F.greatest("x", "y")})
+    half = lambda at, h, root, n, s: dealt.where(f"x = {at}").select("key", "bi", "bj", F.col("root").alias(root), *_side(h, n, s))
     both = half("bi", "a", "r", "m", "p").join(half("bj", "b", "s", "n", "q"), ["key", "bi", "bj"])
     both = both.where("r <> s and (bi < bj or a < b)").where(_reachable("m", "n", _unlike("p", "q"), threshold))
     sized = F.when(F.col("a") < F.col("b"), F.struct(F.col("a").alias("u"), F.col("b").alias("v"), "m", "n")).otherwise(F.struct(F.col("b").alias("u"), F.col("a").alias("v"), F.col("n").alias("m"), F.col("m").alias("n")))
@@ -240,8 +262,12 @@ def _apart(members: DataFrame, group: DataFrame, sketches: DataFrame, threshold:
 
 def grams(line: Column) -> Column:
     """The set of a line's pieces of GRAM characters at all positions, as 64-bit hashes; of a shorter line, the whole line."""
+    return F.array_distinct(_every_gram(line))
+
+
+def _every_gram(line: Column) -> Column:
     starts = F.sequence(F.lit(0), F.greatest(F.length(line) - GRAM, F.lit(0)))
-    return F.array_distinct(_once(F.encode(line, "UTF-32"), lambda b: F.transform(starts, lambda i: F.xxhash64(F.substring(b, 4 * i + 1, F.lit(4 * GRAM))))))
+    return _once(F.encode(line, "UTF-32"), lambda b: F.transform(starts, lambda i: F.xxhash64(F.substring(b, 4 * i + 1, F.lit(4 * GRAM)))))
 
 
 def _once(value: Column, use) -> Column:
@@ -254,7 +280,7 @@ def _close(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     texts = texts.join(_small(pairs.select(F.explode(F.array("u", "v")).alias("h")).distinct()), "h", "left_semi")
     side = lambda h, line: texts.select(F.col("h").alias(h), F.col("line").alias(line))
     both = pairs.select("u", "v", "m", "n").join(side("u", "a"), "u").join(side("v", "b"), "v")
-    same = F.size(F.array_intersect(grams(F.col("a")), grams(F.col("b"))))  # of m + n - same in all
+    same = F.size(F.array_intersect(_every_gram(F.col("a")), _every_gram(F.col("b"))))  # different ones, of m + n - same in all
     return both.where(same * (1 + threshold) >= F.lit(threshold) * (F.col("m") + F.col("n")) - F.lit(1e-9)).select("u", "v")
 
 

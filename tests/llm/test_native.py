@@ -75,6 +75,27 @@ def test_line_dedup_compares_all_of_a_bucket(make, monkeypatch):
     assert got == {i: [0] if i % 2 == 0 else [] for i in range(80)}
 
 
+def test_line_dedup_fetches_lines_with_candidates(make, monkeypatch):
+    """Of a large bucket's lines only those with a candidate in it are fetched and sketched, and near copies among them are found."""
+    monkeypatch.setattr(line_dedup, "NEAR", 1)
+    made, cut = {}, line_dedup.cut
+
+    def counting(df, name):
+        out = cut(df, name)
+        made[name] = out.where("size > 2").select("h").distinct().count() if name == "line-members" else out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup, "cut", counting)
+    r = random.Random(11)
+    word = lambda: "".join(r.choices("abcdefghijklmnop", k=7))
+    opening = " ".join(word() for _ in range(4))
+    lines = [f"{opening} {' '.join(word() for _ in range(50))}" for _ in range(4000)]
+    docs = make([*enumerate(lines), *((10000 + i, f"{lines[i]} and") for i in range(0, 4000, 100))])
+    got = {x.doc_id: x.kept for x in line_dedup.decisions(docs).collect()}
+    assert got == {i: [0] for i in range(4000)} | {10000 + i: [] for i in range(0, 4000, 100)}
+    assert made["line-members"] > 200 and sum(made.get(name, 0) for name in ("line-texts", "line-texts-added")) < 0.95 * made["line-members"]
+
+
 def test_line_dedup_pairs_of_a_family(make, monkeypatch):
     """Of lines with one origin that are not alike enough hardly a pair is left to verify, and sketches differ in no more bits
     than the sets have members apart."""
